@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,9 +92,62 @@ def reached(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame
     raise RuntimeError("no fixed point")
 
 
-def largest_scc(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node): the largest strongly connected component, the one with the least id of equals; forward-backward search from
-    pivots, on what may still hold a larger one."""
+#: Edges up to which strong components are found in one task.
+ONE_TASK_EDGES = 1_000_000
+
+
+def _strong(pairs: list[tuple[int, int]]) -> dict[int, int]:
+    """Node to the least node of its strong component: depth-first order, then search against the edges in reverse order."""
+    out: dict[int, list[int]] = {}
+    into: dict[int, list[int]] = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+        into.setdefault(b, []).append(a)
+    seen: set[int] = set()
+    order: list[int] = []
+    for root in sorted(out):
+        if root in seen:
+            continue
+        seen.add(root)
+        path = [(root, iter(out[root]))]
+        while path:
+            for v in path[-1][1]:
+                if v not in seen:
+                    seen.add(v)
+                    path.append((v, iter(out[v])))
+                    break
+            else:
+                order.append(path.pop()[0])
+    label: dict[int, int] = {}
+    for root in reversed(order):
+        if root in label:
+            continue
+        group, todo = [root], [root]
+        label[root] = root
+        while todo:
+            for v in into.get(todo.pop(), ()):
+                if v not in label:
+                    label[v] = root
+                    group.append(v)
+                    todo.append(v)
+        least = min(group)
+        for v in group:
+            label[v] = least
+    return label
+
+
+def largest_scc(edges: DataFrame, rounds: int = 20, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """(node): the largest strongly connected component, the one with the least id of equals. Graphs of up to ``one_task`` edges,
+    which is checked, are searched in one task; larger ones forward and backward from pivots, on what may still hold a larger one."""
+    if edges.count() <= one_task:
+
+        def search(frame: pd.DataFrame) -> pd.DataFrame:
+            label = pd.Series(_strong(list(zip(frame.from_node.tolist(), frame.to_node.tolist(), strict=True))), dtype="int64")
+            n = label.groupby(label).size()
+            return pd.DataFrame({"node": label.index[label == n[n == n.max()].index.min()]}) if len(n) else pd.DataFrame({"node": []}, dtype="int64")
+
+        return edges.select("from_node", "to_node").groupBy(F.lit("all")).applyInPandas(search, "node long")
     left = written(edges.select("from_node", "to_node").where("from_node <> to_node"), "left")
     best, size = None, 0
     for _ in range(rounds):

@@ -440,7 +440,7 @@ def link_ema(s, d):
     return x.select("edge_id", F.size("l").cast("long").alias("n"), F.floor(ft.ema(F.transform("l", lambda e: e["tt_cs"] / F.lit(1000.0))) * 10000 + 0.5).alias("ema_bp"))
 
 
-@query(_EV + " SELECT e.edge_id AS edge_id, (t_s // 21600) * 21600 AS bin_s, count(*) AS n, sum(tt_cs)::BIGINT AS tt_sum, floor(count(*) * 3600 / 21600::DOUBLE / capacity * 1000000 + 0.5)::BIGINT AS vc_ppm FROM link_events AS l JOIN net_edges AS e ON l.edge_id = e.edge_id WHERE kind = 'enter' GROUP BY ALL, capacity")
+@query(_EV + " SELECT e.edge_id AS edge_id, (t_s // 21600) * 21600 AS bin_s, count(*) AS n, sum(tt_cs)::BIGINT AS tt_sum, floor(count(*) * 3600 / 21600::DOUBLE / capacity * 1000000 + 0.5)::BIGINT AS vc_ppm FROM link_events AS l JOIN net_edges AS e ON l.edge_id = e.edge_id WHERE kind = 'enter' GROUP BY 1, 2, capacity")
 def link_time_slices(s, d):
     """Slices first, then the join: what is joined is one row an edge and bin."""
     x = analytics.time_slices(D.link_events(s, d).where("kind = 'enter'"), 21600)
@@ -597,9 +597,9 @@ def _drained(s: SparkSession, d: str, build, mode: str) -> DataFrame:
     from ..operators.components import shared_dir
 
     source = D.table(s, d, "events")
-    raw = s.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet")
+    raw = s.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     kind = F.when(F.col("event_type") == "view", "enter").when(F.col("event_type") == "click", "exit").otherwise("other")
-    events = raw.select("event_id", "ts", F.col("user_id").alias("agent_id"), F.get_json_object("props", "$.k").cast("long").alias("edge_id"), F.rint(F.col("value") * 100).cast("long").alias("tt_cs"), kind.alias("kind"))
+    events = raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("agent_id"), F.get_json_object("props", "$.k").cast("long").alias("edge_id"), F.rint(F.col("value") * 100).cast("long").alias("tt_cs"), kind.alias("kind"))
     path = f"{shared_dir(s)}/tramline/stream-{uuid.uuid4().hex}"
     out = build(events)
 

@@ -53,7 +53,7 @@ def link_events(spark: SparkSession, d: str) -> DataFrame:
     """Trip events: agent, edge, time in microseconds since the epoch, travel time in hundredths of a second."""
     e = table(spark, d, "events")
     kind = F.when(F.col("event_type") == "signup", "depart").when(F.col("event_type") == "view", "enter").when(F.col("event_type") == "click", "exit").when(F.col("event_type") == "purchase", "arrive").otherwise("reroute")
-    return e.select("event_id", F.col("user_id").alias("agent_id"), F.get_json_object("props", "$.k").cast("long").alias("edge_id"), F.unix_seconds("ts").alias("t_s"), F.rint(F.col("value") * 100).cast("long").alias("tt_cs"), kind.alias("kind"), "ts")
+    return e.select("event_id", F.col("user_id").alias("agent_id"), F.get_json_object("props", "$.k").cast("long").alias("edge_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t_s"), F.rint(F.col("value") * 100).cast("long").alias("tt_cs"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 def daily_trips(spark: SparkSession, d: str) -> DataFrame:
