@@ -105,6 +105,29 @@ def test_substring_dedup(spark):
     assert kept[n + 4]["text"] == texts[n + 4] and kept[n + 4]["_d"] == "x" and kept[0]["text"] is None
 
 
+@pytest.mark.parametrize("changes", [1, 2])
+@pytest.mark.parametrize("n", [50, 60, 70, 80, 90, 130])
+def test_passages_with_changed_words(n, changes):
+    def shingled(words):
+        text = " ".join(words).encode()
+        return substring_dedup.shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0][: len(words) - 4]
+
+    q = prose(30 + n, n).split()
+    near = q.copy()
+    for i in range(changes):
+        near[n * (i + 1) // (changes + 1)] = f"changed{i}"
+    a, b = shingled(prose(31, 40).split() + q + prose(32, 40).split()), shingled(prose(33, 30).split() + near + prose(34, 30).split())
+
+    def alike(s, e):
+        one, two = set(a[40 + s - 30 : 40 + e - 30].tolist()), set(b[s:e].tolist())
+        return len(one & two) >= 0.8 * len(one | two)
+
+    shared = np.isin(b, a)
+    want = {p for s in range(len(b)) for e in range(s + 46, len(b) + 1) if shared[s] and shared[e - 1] and alike(s, e) for p in range(s, e)}
+    got = {p for s, e in substring_dedup.shared_stretches(a, b, 46, 0.8) for p in range(s, e)}
+    assert got == want and (changes == 2 or want == set(range(30, 26 + n)))
+
+
 def test_substring_dedup_of_a_large_group_and_nothing(spark):
     p = prose(20, 70)
     got = rows(substring_dedup.digest(frame(spark, [prose(100 + i, 60) + " " + p for i in range(40)])), "doc_id", "n_removed")
