@@ -137,6 +137,17 @@ def test_substring_dedup_of_a_large_group_and_nothing(spark):
     assert rows(whole, "doc_id") == [(0,)]
 
 
+@pytest.mark.parametrize("salts", [1, 3])
+def test_substring_dedup_finds_partners_under_a_frequent_line(spark, salts):
+    """Every passage holds one line; its true partner is neither the earliest document with that line nor one of the three before."""
+    line = prose(40, 40)
+    passage = [prose(200 + i, 5) + " " + line + " " + prose(300 + i, 5) for i in range(30)]
+    texts = passage + [prose(400 + i, 30) + " " + passage[i] + " " + prose(500 + i, 30) for i in range(30)]
+    got = {r["doc_id"]: r for r in substring_dedup.digest(frame(spark, texts), salts=salts).collect()}
+    assert all(got[i]["n_removed"] == 0 for i in range(30))
+    assert all(50 <= got[30 + i]["n_removed"] <= 52 and got[30 + i]["repeats_of"] == [i] for i in range(30))
+
+
 # -- 3 ---------------------------------------------------------------------------------------------------------------------
 
 
