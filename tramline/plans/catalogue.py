@@ -367,7 +367,7 @@ def routes_batch(s, d):
 
 @query()
 def routes_stochastic(s, d):
-    return routing.routes(_requests(s, d).where("agent_id < 2000"), _car(s, d), "cost_ms", sigma=0.08)
+    return routing.routes(_requests(s, d), _car(s, d), "cost_ms", sigma=0.08)
 
 
 @query("WITH r AS (SELECT o_custkey % least(n, 10) AS origin, o_orderkey % n AS dest, (o_orderkey * 37 % 86400) // 900 % 96 AS bucket FROM orders, (SELECT count(*) AS n FROM supplier) AS g) SELECT count(*) AS n_requests, count(DISTINCT (origin, dest, bucket)) AS n_routed FROM r")
@@ -558,7 +558,7 @@ def segments_explode(s, d):
 
 
 def _sim_agents(s, d, runs: int = 1):
-    routed = routing.routes(_requests(s, d).where("agent_id < 1500"), _car(s, d), "cost_ms").where("edges IS NOT NULL")
+    routed = routing.routes(_requests(s, d), _car(s, d), "cost_ms").where("edges IS NOT NULL")
     x = routed.select("agent_id", F.when(F.col("agent_id") % 10 == 0, "walk").otherwise("car").alias("mode"), (F.col("agent_id") * 37 % 3600).cast("double").alias("depart_s"), "edges")
     return x.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))))
 
