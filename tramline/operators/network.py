@@ -137,9 +137,10 @@ def _strong(pairs: list[tuple[int, int]]) -> dict[int, int]:
     return label
 
 
-def largest_scc(edges: DataFrame, rounds: int = 20, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+def largest_scc(edges: DataFrame, rounds: int = 100_000, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node): the largest strongly connected component, the one with the least id of equals. Graphs of up to ``one_task`` edges,
-    which is checked, are searched in one task; larger ones forward and backward from pivots, on what may still hold a larger one."""
+    which is checked, are searched in one task; larger ones forward and backward from pivots, on what may still hold a larger one,
+    without nodes that no cycle passes."""
     if edges.count() <= one_task:
 
         def search(frame: pd.DataFrame) -> pd.DataFrame:
@@ -149,21 +150,26 @@ def largest_scc(edges: DataFrame, rounds: int = 20, one_task: int = ONE_TASK_EDG
 
         return edges.select("from_node", "to_node").groupBy(F.lit("all")).applyInPandas(search, "node long")
     left = written(edges.select("from_node", "to_node").where("from_node <> to_node"), "left")
-    best, size = None, 0
+    best, size, least = None, 1, None
     for _ in range(rounds):
-        degrees = left.select(F.col("from_node").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(left.select(F.col("to_node").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))).groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
-        top = degrees.orderBy(F.desc(F.col("o") * F.col("i")), "node").limit(1).select("node")
-        if top.count() == 0:
+        n, before = left.count(), -1
+        while n != before:
+            ends = left.select(F.col("to_node").alias("from_node")).distinct(), left.select(F.col("from_node").alias("to_node")).distinct()
+            left, before = written(left.join(ends[0], "from_node", "left_semi").join(ends[1], "to_node", "left_semi"), "left"), n
+            n = left.count()
+        if n == 0 or left.select("from_node").distinct().count() < size:
             break
+        degrees = left.select(F.col("from_node").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(left.select(F.col("to_node").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))).groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+        top = written(degrees.orderBy(F.desc(F.col("o") * F.col("i")), "node").limit(1).select("node"), "top")
         forward, backward = reached(left, top), reached(left.select(F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node")), top)
         scc = written(forward.join(backward, "node"), "scc")
-        n = scc.count()
-        if n > size:
-            best, size = scc, n
+        n, first = scc.agg(F.count("*"), F.min("node")).first()
+        if n > size or n == size and best is not None and first < least:
+            best, size, least = scc, n, first
         left = written(left.join(scc, left.from_node == scc.node, "left_anti").join(scc, left.to_node == scc.node, "left_anti"), "left")
-        if left.select("from_node").distinct().count() <= size:
-            break
-    return best if best is not None else edges.select(F.col("from_node").alias("node")).limit(0)
+    else:
+        raise RuntimeError(f"components left after {rounds} rounds")
+    return best if best is not None else edges.select(F.least("from_node", "to_node").alias("node")).orderBy("node").limit(1)
 
 
 def violations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
