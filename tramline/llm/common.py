@@ -68,27 +68,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_POWERS: list[list[np.ndarray]] = [[np.ones(1, np.uint64)] * 2 for _ in _BASES]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n+1 powers of the base and of its inverse modulo 2^64; grown when needed."""
-    if len(_POWERS[0]) <= n:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The first n+1 powers of a base and of its inverse modulo 2^64; grown when needed."""
+    own = _POWERS[which]
+    if len(own[0]) <= n:
         size = 1 << int(n + 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+        for k, base in enumerate((_BASES[which], pow(_BASES[which], -1, 1 << 64))):
             step = np.full(size, base, np.uint64)
             step[0] = 1
-            _POWERS[k] = np.multiply.accumulate(step)
-    return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
+            own[k] = np.multiply.accumulate(step)
+    return own[0][: n + 1], own[1][: n + 1]
 
 
 class Rolling:
-    """Hashes of any substrings of one byte array, from a prefix sum."""
+    """Hashes of any substrings of one byte array, from a prefix sum; ``which`` base."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, which: int = 0):
         n = len(data)
-        up, self.down = powers(n)
+        up, self.down = powers(n, which)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.sums[1:])
 

@@ -9,7 +9,8 @@ A byte goes if a string of ``min_len`` bytes that covers it also starts anywhere
 3. Different runs around equal anchors are put together, many anchors to a bucket of bounded size, each bucket in one task, which
    builds the transform and expands intervals breadth first, prefix length by prefix length, up to ``min_len``. Neighbours in
    suffix order that are still together there share min_len bytes.
-4. Anchors with more than ``hot`` different runs do not fit a bucket. Their windows are counted by hash, one row a window.
+4. Anchors with more than ``hot`` different runs do not fit a bucket. Their windows are counted, one row a window, by the anchor and two
+   hashes with different bases, as runs are.
 
 Texts travel compressed; a document's text is shuffled twice, to cut runs from it and to cut the removed bytes out.
 
@@ -33,6 +34,8 @@ from .common import Rolling, doc_key, merged, sliced, sliding_min, utf8, written
 ANCHOR = 128
 #: Different runs of an anchor that still go to a bucket, and bytes of a bucket.
 HOT, BUCKET_BYTES = 5000, 1_500_000
+#: Windows whose anchors are looked for at once.
+PIECE = 1 << 23
 
 
 # -- the transform ---------------------------------------------------------------------------------------------------------
@@ -156,22 +159,34 @@ def repeated_starts(data: np.ndarray, offsets: np.ndarray, min_len: int) -> np.n
 # -- runs ------------------------------------------------------------------------------------------------------------------
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, min_len: int, k: int = ANCHOR) -> dict[str, np.ndarray]:
-    """The runs of all texts: row, start, end (in the text), the anchor's hash and the run's hash."""
-    roll = Rolling(data)
-    grams = roll.all(k)
+def anchors(data: np.ndarray, min_len: int, k: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each k bytes, place of the anchor of each window): the least hash in the window, the rightmost of equals.
+
+    Windows are taken in pieces, as a place in a piece must fit the low 24 bits that break ties.
+    """
+    grams = Rolling(data).all(k)
     low = np.uint64((1 << 24) - 1)
-    keyed = (grams & ~low) | (low - np.arange(len(grams), dtype=np.uint64))
-    least = sliding_min(keyed, min_len - k + 1)
+    width = min_len - k + 1
+    found = [np.zeros(0, np.int64)]
+    for at in range(0, max(0, len(data) - min_len + 1), piece):
+        part = grams[at : at + piece + width - 1]
+        keyed = (part & ~low) | (low - np.arange(len(part), dtype=np.uint64))
+        found.append(at + (low - (sliding_min(keyed, width) & low)).astype(np.int64))
+    return grams, np.concatenate(found)
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, min_len: int, k: int = ANCHOR) -> dict[str, np.ndarray]:
+    """The runs of all texts: row, start, end (in the text), the anchor's hash and two hashes of the run."""
+    grams, place = anchors(data, min_len, k)
     lengths = np.diff(offsets)
     count = np.maximum(lengths - min_len + 1, 0)
     row = np.repeat(np.arange(len(lengths)), count)
     window = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(offsets[:-1], count)
-    anchor = (low - (least[window] & low)).astype(np.int64)
+    anchor = place[window]
     first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]) if len(row) else np.zeros(0, np.int64)
     last = np.r_[first[1:], len(row)] - 1 if len(first) else first
     s, e, r = window[first], window[last] + min_len, row[first]
-    return {"row": r, "start": s - offsets[r], "end": e - offsets[r], "a": grams[anchor[first]].view(np.int64), "s": roll.of(s, e).view(np.int64)}
+    return {"row": r, "start": s - offsets[r], "end": e - offsets[r], "a": grams[anchor[first]].view(np.int64), "s": Rolling(data).of(s, e).view(np.int64), "s2": Rolling(data, 1).of(s, e).view(np.int64)}
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,23 +208,23 @@ def unsqueezed(col: pa.Array) -> list[bytes]:
 
 
 def found_runs(docs: DataFrame, min_len: int) -> DataFrame:
-    """(_d, _h, start, end, a, s): a row a run."""
+    """(_d, _h, start, end, a, s, s2): a row a run."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             got = runs(*utf8(batch.column(2)), min_len)
             row = pa.array(got["row"])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(got[c], pa.int32() if c in ("start", "end") else pa.int64()) for c in ("start", "end", "a", "s"))], ["_d", "_h", "start", "end", "a", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(got[c], pa.int32() if c in ("start", "end") else pa.int64()) for c in ("start", "end", "a", "s", "s2"))], ["_d", "_h", "start", "end", "a", "s", "s2"])
 
-    return docs.select(*doc_key(), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(each, "_d long, _h long, start int, end int, a long, s long")
+    return docs.select(*doc_key(), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(each, "_d long, _h long, start int, end int, a long, s long, s2 long")
 
 
 def repeated_spans(docs: DataFrame, packed: DataFrame, min_len: int = 400, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(_d, _h, start, end): byte intervals that repeated strings cover; they overlap, and a union is left to the reader."""
     found = written(found_runs(docs, min_len), "runs")
-    kinds = found.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_h", "start", "end")).alias("one"))
-    kinds = written(kinds.select("a", "s", "n", "one.*"), "run-kinds")
-    copies = found.join(kinds.where("n > 1").select("a", "s"), ["a", "s"]).select("_d", "_h", "start", "end")
+    kinds = found.groupBy("a", "s", "s2").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_h", "start", "end")).alias("one"))
+    kinds = written(kinds.select("a", "s", "s2", "n", "one.*"), "run-kinds")
+    copies = found.join(kinds.where("n > 1").select("a", "s", "s2"), ["a", "s", "s2"]).select("_d", "_h", "start", "end")
 
     anchors = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.sum(F.col("end") - F.col("start")).alias("bytes")).where("kinds > 1")
     total = anchors.where(F.col("kinds") <= hot).agg(F.sum("bytes")).first()[0] or 0
@@ -269,12 +284,12 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, min_len: int = 400, hot:
             inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             s = inside + off[row]
             r = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(3).take(r), pa.array(Rolling(data).of(s, s + min_len).view(np.int64)), batch.column(0).take(r), batch.column(1).take(r), pa.array(np.asarray(batch.column(2))[row] + inside, pa.int32()), batch.column(4).take(r)], ["a", "w", "_d", "_h", "start", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(3).take(r), *(pa.array(Rolling(data, k).of(s, s + min_len).view(np.int64)) for k in range(2)), batch.column(0).take(r), batch.column(1).take(r), pa.array(np.asarray(batch.column(2))[row] + inside, pa.int32()), batch.column(4).take(r)], ["a", "w", "w2", "_d", "_h", "start", "n"])
 
     warm = texts.select("_d", "_h", "z", F.filter("want", lambda x: x["hot"]).alias("want")).where(F.size("want") > 0)
-    windows = warm.mapInArrow(hot_windows, "a long, w long, _d long, _h long, start int, n long")
-    twice = windows.groupBy("a", "w").agg(F.sum("n").alias("n")).where("n > 1").select("a", "w")
-    heated = windows.join(twice, ["a", "w"]).select("_d", "_h", "start", (F.col("start") + min_len).alias("end")) if anchors.where(F.col("kinds") > hot).limit(1).count() else None
+    windows = warm.mapInArrow(hot_windows, "a long, w long, w2 long, _d long, _h long, start int, n long")
+    twice = windows.groupBy("a", "w", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("a", "w", "w2")
+    heated = windows.join(twice, ["a", "w", "w2"]).select("_d", "_h", "start", (F.col("start") + min_len).alias("end")) if anchors.where(F.col("kinds") > hot).limit(1).count() else None
     spans = copies.unionByName(expanded)
     return spans.unionByName(heated) if heated is not None else spans
 
