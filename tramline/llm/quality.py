@@ -110,7 +110,8 @@ def fitted(docs: DataFrame, labels: DataFrame, grade: str = "quality", fit_rows:
 
 def scored(docs: DataFrame, model: Ordinal, at_least: float | None = None, bits: int = BITS) -> DataFrame:
     """``docs`` with expected_grade and tail (chance of grade ``at_least`` or better, by default the best)."""
-    names = [f.name for f in docs.schema]
+    docs = docs.drop("expected_grade", "tail")
+    names = docs.columns
     send = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits weights
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

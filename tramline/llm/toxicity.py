@@ -8,8 +8,11 @@ The models are fitted on the driver, on ``fit_rows`` labelled documents at most,
 features found in ``least`` of them or more whose link with the category is clearly beyond chance; this bounds its size. Scores
 read whole texts.
 
+The last category decides whether a document goes, so every link of the chain takes part.
+
 Null texts count as empty; of labels that repeat a document the least counts; documents with a null label do not train; a category
-that is always or never true is predicted so. Other columns are ignored.
+that is always or never true, as without labels, is predicted so; ties go with the greater or equal probability; rows that repeat
+are scored each; an empty table gives an empty result. Other columns may have any name; one named like a result is replaced.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from .text_features import hashes
 FIT_ROWS, FOLDS, LEAST = 6000, 5, 5
 #: Lengths in bytes of the beginnings of words that are features.
 PREFIXES = (4, 6, 8)
-#: Categories in the order of the chain, from the columns of ``labels``.
-CATEGORIES: dict[str, Column | str] = {"toxic": "toxic", "toxic_prose": "toxic * quality", "toxic_junk": "toxic * (1 - quality)"}
+#: Categories in the order of the chain, from the columns of ``labels``. The last decides; it is given what the narrower ones before it predict.
+CATEGORIES: dict[str, Column | str] = {"toxic_prose": "toxic * quality", "toxic_junk": "toxic * (1 - quality)", "toxic": "toxic"}
+
+_LAST = f"p_{list(CATEGORIES)[-1]}"
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +134,9 @@ def fitted(docs: DataFrame, labels: DataFrame, categories: dict = CATEGORIES, fi
 
 def scored(docs: DataFrame, models: list[Linear], categories: dict = CATEGORIES) -> DataFrame:
     """``docs`` with a probability p_<category> for each category."""
-    names, more = [f.name for f in docs.schema], [f"p_{c}" for c in categories]
+    more = [f"p_{c}" for c in categories]
+    docs = docs.drop(*more)
+    names = docs.columns
     send = docs.sparkSession.sparkContext.broadcast(models)  # bounded by fit_rows and ``least``
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,11 +154,11 @@ def scored(docs: DataFrame, models: list[Linear], categories: dict = CATEGORIES)
 def digest(docs: DataFrame, labels: DataFrame, most: float = 0.35) -> DataFrame:
     """What the query returns: (doc_id, p_<category>..., toxic)."""
     out = scored(docs.select("doc_id", "text"), fitted(docs, labels))
-    return out.select("doc_id", *(F.round(f"p_{c}", 6).alias(f"p_{c}") for c in CATEGORIES), (F.col("p_toxic") >= most).alias("toxic"))
+    return out.select("doc_id", *(F.round(f"p_{c}", 6).alias(f"p_{c}") for c in CATEGORIES), (F.col(_LAST) >= most).alias("toxic"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, most: float = 0.35) -> DataFrame:
-    """The documents with a probability of the first category under ``most``, with their own columns."""
+    """The documents with a probability of the last category under ``most``, with their own columns."""
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" if n != "text" else "text" for i, n in enumerate(names)))
-    return scored(plain, fitted(docs, labels)).where(F.col("p_toxic") < most).select(*plain.columns).toDF(*names)
+    return scored(plain, fitted(docs, labels)).where(F.col(_LAST) < most).select(*plain.columns).toDF(*names)
