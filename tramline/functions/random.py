@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +46,14 @@ def noise_multiplier(seed: Column, edge: Column, sigma: float) -> Column:
     h = _times32(seed.cast("long").bitwiseAND(_LOW).bitwiseXOR(_times32(edge.cast("long").bitwiseAND(_LOW), 2654435761)), 0x9E3779B9)
     signed = F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
     return F.lit(1.0) + F.lit(sigma) * signed / F.lit(float(1 << 31))
+
+
+def edge_noise(agent: int, edges: np.ndarray) -> np.ndarray:
+    """u in [-1, 1) of each edge (uint64) for an agent; the same hashing on arrays.
+
+    Fixed values: the multipliers above and the constant 0xCA7F00D of an agent's seed.
+    """
+    low = np.uint64(_LOW)
+    seed = np.uint64((0xCA7F00D ^ (agent * 2654435761)) & _LOW)
+    h = ((seed ^ ((edges * np.uint64(2654435761)) & low)) * np.uint64(0x9E3779B9)) & low
+    return h.astype(np.uint32).view(np.int32) / 2.0**31

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +89,83 @@ def reroute_candidates(positions: DataFrame, steps: DataFrame, congested: DataFr
     """(agent_id): agents with a congested edge among the next ``ahead`` of their route."""
     x = steps.join(positions.select("agent_id", F.col("pos").alias("_now")), "agent_id").where((F.col("pos") > F.col("_now")) & (F.col("pos") <= F.col("_now") + ahead))
     return x.join(congested, "edge_id", "left_semi").select("agent_id").distinct()
+
+
+def shares(counts: DataFrame, n: str = "n") -> DataFrame:
+    """``counts`` with each row's share of all (a row a class)."""
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum(n).alias("_all")))).withColumn("share", F.col(n) / F.col("_all")).drop("_all")
+
+
+def capped_histogram(values: DataFrame, column: str, most: int = 31) -> DataFrame:
+    """(bin, n): how often each whole number occurs; greater ones count as ``most``."""
+    return values.groupBy(F.least(F.col(column), F.lit(most)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def peak_volume(departures: DataFrame, edges: DataFrame, car_class: int = 13) -> DataFrame:
+    """One row: the hour with most departures, how many, and their ratio to the capacity of all edges open to cars."""
+    capacity = edges.where(F.col("road_class") <= car_class).agg(F.sum("capacity").alias("capacity"))
+    return peak_hour(departures).crossJoin(F.broadcast(capacity)).withColumn("vc", F.col("n") / F.col("capacity"))
+
+
+def class_capacity(edges: DataFrame, car_class: int = 13) -> DataFrame:
+    """(road_class, n_edges, capacity, share): share of the capacity of the classes open to cars, null for others."""
+    own = edges.groupBy("road_class").agg(F.count("*").alias("n_edges"), F.sum("capacity").alias("capacity"))
+    car = own.where(F.col("road_class") <= car_class).agg(F.sum("capacity").alias("_car"))
+    return own.crossJoin(F.broadcast(car)).withColumn("share", F.when(F.col("road_class") <= car_class, F.col("capacity") / F.col("_car"))).drop("_car")
+
+
+def teleports(log: DataFrame, agents: DataFrame, edges: DataFrame) -> DataFrame:
+    """(road_class, reroutes, n) of teleports, from an engine's events and agents."""
+    x = log.where("kind = 'teleport'").join(agents.select("run", "agent_id", "reroutes"), ["run", "agent_id"]).join(edges.select("edge_id", "road_class"), "edge_id", "left")
+    return x.groupBy("road_class", F.least("reroutes", F.lit(31)).alias("reroutes")).agg(F.count("*").alias("n"))
+
+
+def active_agents(agents: DataFrame) -> DataFrame:
+    """One row: agents on a link or waiting."""
+    return agents.agg(F.count_if(F.col("state").isin("on_link", "waiting")).alias("n_active"))
+
+
+def positions(agents: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(agent_id, edge_id, lon, lat): agents on an edge (agent_id, edge_id) at the node that it leads to."""
+    x = agents.join(edges.select("edge_id", F.col("to_node").alias("node_id")), "edge_id").join(nodes.select("node_id", "lon", "lat"), "node_id")
+    return x.select("agent_id", "edge_id", "lon", "lat")
+
+
+def ticks(occupancies: DataFrame, every: int, until: int) -> DataFrame:
+    """(edge_id, tick, occupancy) at 0, every, 2 every, ... up to ``until`` of (edge_id, t, occupancy) after each change; only links in use.
+
+    A change counts from the first tick that is not before it, and holds until the tick of the next.
+    """
+    x = occupancies.withColumn("tick", F.ceil(F.col("t") / every)).groupBy("edge_id", "tick").agg(F.max_by("occupancy", "t").alias("occupancy"))
+    after = F.lead("tick", 1, until // every + 1).over(Window.partitionBy("edge_id").orderBy("tick"))
+    x = x.withColumn("next", F.least(after, F.lit(until // every + 1))).where("occupancy > 0 AND next > tick")
+    return x.select("edge_id", F.explode(F.sequence("tick", F.col("next") - 1)).alias("tick"), "occupancy").withColumn("tick", F.col("tick") * every)
+
+
+def gated(links: DataFrame, every: float) -> DataFrame:
+    """Of an engine's link windows (window_s) the first at or behind each multiple of ``every``: what a writer of snapshots gets."""
+    times = links.select("window_s").distinct()
+    first = times.groupBy(F.floor(F.col("window_s") / every)).agg(F.min("window_s").alias("window_s")).select("window_s")
+    return links.join(F.broadcast(first), "window_s", "left_semi")  # a row a snapshot
+
+
+def ema(events: DataFrame, weight: float = 0.2, start: float = 1.0) -> DataFrame:
+    """(edge_id, n, mean): the running mean of (edge_id, t, id, value) in the order of (t, id). Rows stream through their task; a busy edge is never held."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, mean = None, 0, start
+        names = ["edge_id", "n", "mean"]
+        for batch in batches:
+            out = []
+            for e, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if n and e != at:
+                    out.append((at, n, mean))
+                    n, mean = 0, start
+                at, n, mean = e, n + 1, mean + weight * (v - mean)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (at, n, mean)], names)
+
+    rows = events.repartition("edge_id").sortWithinPartitions("edge_id", "t", "id").select("edge_id", "value")
+    return rows.mapInArrow(fold, "edge_id long, n long, mean double")

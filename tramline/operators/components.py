@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset a temporary one serves a local session; a cluster must name its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tramline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -20,10 +22,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    return _placed(df, name)[0]
+
+
+def _placed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tramline/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Steps:
+    """Written tables of a loop, of which only the last ``held`` are kept."""
+
+    def __init__(self, spark: SparkSession, held: int = 2):
+        self.spark, self.held, self.paths = spark, held, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _placed(df, name)
+        self.paths.append(path)
+        while len(self.paths) > self.held:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(0))
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        return out
 
 
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame:
@@ -33,8 +54,8 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 100) ->
     after some rounds, about the logarithm of the longest path, only stars are left. No node's neighbours are ever gathered in
     one row; a hub costs a skewed join that adaptive execution splits.
     """
-    spark = edges.sparkSession
-    edges = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and u <> v").distinct(), "edges")
+    steps = Steps(edges.sparkSession)
+    edges = steps.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and u <> v").distinct(), "edges")
     mark = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -42,7 +63,7 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 100) ->
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges = steps.keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
@@ -50,4 +71,4 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 100) ->
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return edges.toDF("node", "component").unionByName(roots) if edges.columns else spark.createDataFrame([], "node long, component long")
+    return edges.toDF("node", "component").unionByName(roots)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,11 +19,17 @@ MODE_NAMES = {
 }
 #: Shares of car, walk, bike, transit in per cent, and kilometres to assume, by distance band.
 BANDS = {"0.5-2": (5, 70, 5, 20, 1.25), "2-10": (50, 10, 5, 35, 6.0), "10-50": (80, 1, 1, 18, 30.0), ">50": (90, 0, 0, 10, 70.0)}
-#: For other bands.
+#: The same for other bands.
 OTHER_BAND = (50, 30, 10, 10, None)
 MODES = ("car", "walk", "bike", "transit")
 
 
+def mode_of(code: Column) -> Column:
+    """Mode of a trip file's code; car for others."""
+    names = F.create_map(*(F.lit(x) for pair in MODE_NAMES.items() for x in pair))
+    return F.coalesce(F.try_element_at(names, F.upper(F.btrim(code))), F.lit("car"))
+
+
 def daily_sums(trips: DataFrame, *keys: str) -> DataFrame:
     """Trips and kilometres of each day and key."""
     return trips.groupBy("day", *keys).agg(F.sum("trips").alias("trips"), F.sum("trip_km").alias("trip_km"))
@@ -45,28 +53,32 @@ def weekend_split(trips: DataFrame, holidays: list[str] = ()) -> DataFrame:
 
 
 def band_shares(band: Column) -> Column:
-    """array of (mode, per cent) of a distance band."""
-    of = lambda row: F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(s).alias("share")) for m, s in zip(MODES, row, strict=False)))
+    """array of (mode, per cent, transit's per cent) of a distance band."""
+    of = lambda row: F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(s).alias("share"), F.lit(row[3]).alias("_t")) for m, s in zip(MODES, row, strict=False)))
     out = None
     for name, row in BANDS.items():
         out = F.when(band == name, of(row)) if out is None else out.when(band == name, of(row))
     return out.otherwise(of(OTHER_BAND))
 
 
-def mode_split(od: DataFrame, choice: Callable[[Column], dict[str, Column]] | None = None, transit: Column | None = None) -> DataFrame:
+def trip_km(od: DataFrame) -> Column:
+    """Kilometres a trip: of the row, or those to assume for its band."""
+    fallback = F.coalesce(*(F.when(F.col("band") == b, F.lit(r[4])) for b, r in BANDS.items()))
+    return F.coalesce(F.when(F.col("trips") > 0, F.col("km") / F.col("trips")), fallback)
+
+
+def mode_split(od: DataFrame, choice: Callable[..., dict[str, Column]] | None = None, transit: Column | None = None) -> DataFrame:
     """A row for each mode: ``od`` (band, trips, km) with mode and share in per cent.
 
-    choice: of kilometres a trip, shares of car, walk and bike; they are scaled to what the band leaves beside transit. transit: a
-    share in per cent that replaces the band's; the others are scaled to the rest, unless the band is all transit.
+    choice: of kilometres a trip (and, if it takes two arguments, of the period), shares of car, walk and bike; they are scaled to
+    what the band leaves beside transit. transit: a share in per cent that replaces the band's; the others are scaled to the rest,
+    unless the band is all transit.
     """
     x = od.withColumn("_s", F.explode(band_shares(F.col("band")))).select(*od.columns, "_s.*")
-    own = F.sum(F.when(F.col("mode") == "transit", F.col("share")).otherwise(0)).over(Window.partitionBy(*od.columns))
-    x = x.withColumn("_t", own)
     if choice is not None:
-        fallback = F.coalesce(*(F.when(F.col("band") == b, F.lit(r[4])) for b, r in BANDS.items()))
-        km = F.coalesce(F.when(F.col("trips") > 0, F.col("km") / F.col("trips")), fallback)
+        wants_period = len(inspect.signature(choice).parameters) > 1
         share = F.col("share").cast("double")
-        for m, c in choice(km).items():
+        for m, c in choice(*((trip_km(od), F.col("period")) if wants_period else (trip_km(od),))).items():
             share = F.when(F.col("mode") == m, c * (100 - F.col("_t"))).otherwise(share)
         x = x.withColumn("share", share)
     if transit is not None:
@@ -75,18 +87,86 @@ def mode_split(od: DataFrame, choice: Callable[[Column], dict[str, Column]] | No
     return x.drop("_t")
 
 
+def noisy(trips: Column, sigma: float, seed: int, *keys: str) -> Column:
+    """Whole trips: ``trips`` times a log-normal factor of deviation sigma (none for 0), rounded half to even."""
+    if sigma <= 0:
+        return F.rint(trips).cast("long")
+    u1, u2 = hash_uniform(seed + 11, *keys), hash_uniform(seed + 12, *keys)
+    z = F.sqrt(-2 * F.log((u1 + 1) / (PRIME + 1))) * F.cos(2 * math.pi * u2 / PRIME)
+    return F.rint(trips * F.exp(sigma * z)).cast("long")
+
+
+def od_counts(trips: DataFrame, *, scale: float = 1.0, occupancy: float = 1.2, sigma: float = 0.0, seed: int = 42, choice: Callable[..., dict[str, Column]] | None = None, transit: Column | None = None, all_days: bool = False) -> DataFrame:
+    """(origin, dest, period, band, mode, count): vehicles of a mean day from daily trips (day, origin, dest, period, band, trips, trip_km, and mode or not).
+
+    A mode column decides the mode, else the distance band or ``choice`` splits the trips. Pairs with under half a trip go, and so do
+    parts of a mode with under half a trip or, rounded, none.
+    """
+    keys = ["origin", "dest", "period", "band", *(["mode"] if "mode" in trips.columns else [])]
+    if "mode" in keys:
+        trips = trips.withColumn("mode", mode_of(F.col("mode")))
+    mean = mean_day(trips, *keys, all_days=all_days)
+    mean = mean.select(*keys, (F.col("trips_sum") / F.col("n_days") * scale).alias("trips"), (F.col("km_sum") / F.col("n_days") * scale).alias("km")).where("trips >= 0.5")
+    parts = mean.withColumn("share", F.lit(100)) if "mode" in keys else mode_split(mean, choice, transit)
+    parts = parts.withColumn("part", vehicles(F.col("trips") * F.col("share") / 100.0, F.col("mode"), occupancy)).where("part >= 0.5")
+    parts = parts.withColumn("count", noisy(F.col("part"), sigma, seed, "origin", "dest", "period"))
+    return parts.where("count >= 1").select("origin", "dest", "period", "band", "mode", "count")
+
+
+def build_od(trips: DataFrame, pools: DataFrame, seed: int = 0, **options) -> DataFrame:
+    """OD rows (origin_node, dest_node, count, mode, depart_start_s, depart_end_s) from daily trips and node pools (zone, nodes, and mode or not)."""
+    counts = od_counts(trips, **options).groupBy("origin", "dest", "period", "mode").agg(F.sum("count").alias("count"))
+    x = node_pairs(counts, pools, seed)
+    x = x.groupBy("origin_node", "dest_node", "mode", "period").agg(F.sum("part").alias("count"))
+    return x.select("origin_node", "dest_node", "count", "mode", (F.col("period") * 3600.0).alias("depart_start_s"), ((F.col("period") + 1) * 3600.0).alias("depart_end_s"))
+
+
+def person_vehicle_split(parts: DataFrame, occupancy: float = 1.2) -> DataFrame:
+    """(intra, person_trips, vehicle_trips) of (origin, dest, mode, trips)."""
+    own = vehicles(F.col("trips"), F.col("mode"), occupancy)
+    return parts.groupBy((F.col("origin") == F.col("dest")).alias("intra")).agg(F.sum("trips").alias("person_trips"), F.sum(own).alias("vehicle_trips"))
+
+
+def drawn_mode(od: DataFrame, shares: dict[str, float], seed: int = 42) -> DataFrame:
+    """``od`` (od_id, i) with a mode for each agent, drawn by these shares."""
+    u, total, below = hash_uniform(seed + 21, "od_id", "i") / F.lit(PRIME), sum(shares.values()), 0.0
+    mode = None
+    for m, share in shares.items():
+        below += share / total
+        mode = F.when(u < below, m) if mode is None else mode.when(u < below, m)
+    return od.withColumn("mode", mode.otherwise(list(shares)[-1]))
+
+
+def activity_trips(persons: DataFrame, zones: DataFrame) -> DataFrame:
+    """Trips of an activity plan: (person_id, origin_node, dest_node, mode, depart_s). persons: person_id, origin_maz, dest_maz,
+    depart_period, trip_mode; zones: maz_id, node_id. Of a trip with a zone that has no node the node is null."""
+    from ..functions.traffic import period_midpoint_s, tour_mode
+
+    at = lambda end: zones.select(F.col("maz_id").alias(f"{end}_maz"), F.col("node_id").alias(f"{end}_node"))
+    x = persons.join(at("origin"), "origin_maz", "left").join(at("dest"), "dest_maz", "left")
+    return x.select("person_id", "origin_node", "dest_node", tour_mode(F.col("trip_mode")).alias("mode"), period_midpoint_s(F.col("depart_period")).alias("depart_s"))
+
+
+def departure_order(agents: DataFrame) -> DataFrame:
+    """``agents`` (agent_id, depart_s) with their place in the order of departure."""
+    from .numbering import dense_ids
+
+    return dense_ids(agents, "place", "depart_s", "agent_id")
+
+
 def vehicles(person_trips: Column, mode: Column, occupancy: float) -> Column:
     return F.when((mode == "car") & F.lit(occupancy > 1), person_trips / occupancy).otherwise(person_trips)
 
 
 def node_pairs(od: DataFrame, pools: DataFrame, seed: int = 0, most: int = 20) -> DataFrame:
     """(od columns, i, count, origin_node, dest_node): a count is split over min(count, most) pairs of nodes of the zones' pools,
-    drawn with replacement; the first count % n get one more; pairs of one node go. pools: (zone, nodes array)."""
+    drawn with replacement; the first count % n get one more; pairs of one node go. pools: (zone, nodes array, and mode or not)."""
+    by = ["mode"] if "mode" in pools.columns else []
     n = F.least(F.col("count"), F.lit(most))
     x = repeated(od.where("count >= 1").withColumn("_n", n), "_n", "i")
     x = x.withColumn("part", F.expr("count div _n") + F.when(F.col("i") < F.col("count") % F.col("_n"), 1).otherwise(0))
-    o, t = (pools.select(F.col("zone").alias(z), F.col("nodes").alias(f"_{z}_nodes")) for z in ("origin", "dest"))
-    x = x.join(o, "origin").join(t, "dest")
+    o, t = (pools.select(F.col("zone").alias(z), F.col("nodes").alias(f"_{z}_nodes"), *by) for z in ("origin", "dest"))
+    x = x.join(o, ["origin", *by]).join(t, ["dest", *by])
     draw = lambda z, s: F.col(f"_{z}_nodes")[(hash_uniform(s, "origin", "dest", "i") % F.size(f"_{z}_nodes")).cast("int")]
     x = x.withColumns({"origin_node": draw("origin", seed + 1), "dest_node": draw("dest", seed + 2)}).where("origin_node <> dest_node")
     return x.select(*od.columns, "i", "part", "origin_node", "dest_node")
@@ -120,8 +200,6 @@ def thinned(od: DataFrame, scale: float, seed: int = 42) -> DataFrame:
 
 def lognormal_s(mean: float, std: float, u1: Column, u2: Column) -> Column:
     """Log-normal with this mean and deviation, by Box-Muller on two uniforms, cut to the day."""
-    import math
-
     v = std * std
     mu, sigma = math.log(mean * mean / math.sqrt(v + mean * mean)), math.sqrt(math.log(1 + v / (mean * mean)))
     z = F.sqrt(-2 * F.log((u1 + 1) / (PRIME + 1))) * F.cos(2 * math.pi * u2 / PRIME)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components, written
+from .components import Steps, connected_components, written
 
 
 def without_loops(edges: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def degree_two(edges: DataFrame, nodes: DataFrame, min_length: float = 20.0) ->
 def contracted(edges: DataFrame, nodes: DataFrame, min_length: float = 20.0) -> DataFrame:
     """``edges`` without chains of balanced degree-two nodes: each chain becomes one edge a direction.
 
-    Lengths add up; speed and capacity are the least of the chain; other columns come from its first edge. Chains are components of
+    Lengths add up; speed and capacity are the least of the chain; geometries (points), if there are any, are joined; other columns
+    come from its first edge. Chains are components of
     eligible nodes; in a chain, edges are put in order by pointer doubling (the number of rounds is the logarithm of its length).
     Closed rings of eligible nodes keep the node with the least id.
     """
@@ -55,19 +56,22 @@ def contracted(edges: DataFrame, nodes: DataFrame, min_length: float = 20.0) ->
     eligible = written(eligible.join(rings, "node_id", "left_anti"), "eligible")
 
     # Every edge points to the edge that goes on from it through an eligible node, if there is one.
-    e = edges.select("edge_id", "from_node", "to_node", "length_m", "speed_ms", "capacity")
+    line = ["points"] if "points" in edges.columns else []
+    e = edges.select("edge_id", "from_node", "to_node", "length_m", "speed_ms", "capacity", *line)
     inner = e.join(eligible, e.to_node == eligible.node_id, "left_semi")
     follow = inner.alias("x").join(e.alias("y"), (F.col("x.to_node") == F.col("y.from_node")) & (F.col("x.from_node") != F.col("y.to_node"))).groupBy("x.edge_id").agg(F.min("y.edge_id").alias("next"))
-    state = e.join(follow, "edge_id", "left").select("edge_id", F.col("to_node").alias("end"), "length_m", "speed_ms", "capacity", "next")
-    state = written(state, "chain")
+    state = e.join(follow, "edge_id", "left").select("edge_id", F.col("to_node").alias("end"), "length_m", "speed_ms", "capacity", "next", *line)
+    steps = Steps(edges.sparkSession)
+    state = steps.keep(state, "chain")
     for _ in range(64):
         if state.where("next is not null").limit(1).count() == 0:
             break
-        n = state.select(F.col("edge_id").alias("next"), *(F.col(c).alias(f"n_{c}") for c in ("end", "length_m", "speed_ms", "capacity", "next")))
+        n = state.select(F.col("edge_id").alias("next"), *(F.col(c).alias(f"n_{c}") for c in ("end", "length_m", "speed_ms", "capacity", "next", *line)))
         j = state.join(n, "next", "left")
-        state = written(j.select("edge_id", F.coalesce("n_end", "end").alias("end"), (F.col("length_m") + F.coalesce("n_length_m", F.lit(0))).alias("length_m"), F.least("speed_ms", "n_speed_ms").alias("speed_ms"), F.least("capacity", "n_capacity").alias("capacity"), F.col("n_next").alias("next")), "chain")
-    heads = edges.join(eligible, edges.from_node == eligible.node_id, "left_anti").drop("to_node", "length_m", "speed_ms", "capacity")
-    return heads.join(state.select("edge_id", F.col("end").alias("to_node"), "length_m", "speed_ms", "capacity"), "edge_id").where("from_node <> to_node").select(*edges.columns)
+        on = [F.concat("points", F.coalesce(F.slice("n_points", F.lit(2), F.size("n_points")), F.slice("points", 1, 0))).alias("points")] if line else []
+        state = steps.keep(j.select("edge_id", F.coalesce("n_end", "end").alias("end"), (F.col("length_m") + F.coalesce("n_length_m", F.lit(0))).alias("length_m"), F.least("speed_ms", "n_speed_ms").alias("speed_ms"), F.least("capacity", "n_capacity").alias("capacity"), F.col("n_next").alias("next"), *on), "chain")
+    heads = edges.join(eligible, edges.from_node == eligible.node_id, "left_anti").drop("to_node", "length_m", "speed_ms", "capacity", *line)
+    return heads.join(state.select("edge_id", F.col("end").alias("to_node"), "length_m", "speed_ms", "capacity", *line), "edge_id").where("from_node <> to_node").select(*edges.columns)
 
 
 def large_components(edges: DataFrame, least: int = 5) -> DataFrame:
@@ -86,7 +90,7 @@ def reached(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame
     front = seen
     for _ in range(rounds):
         front = written(edges.join(front, edges.from_node == front.node).select(F.col("to_node").alias("node")).distinct().join(seen, "node", "left_anti"), "front")
-        if front.limit(1).count() == 0:
+        if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
     raise RuntimeError("no fixed point")
@@ -172,6 +176,52 @@ def largest_scc(edges: DataFrame, rounds: int = 100_000, one_task: int = ONE_TAS
     return best if best is not None else edges.select(F.least("from_node", "to_node").alias("node")).orderBy("node").limit(1)
 
 
+def accessible_nodes(edges: DataFrame, mode: str) -> DataFrame:
+    """(node): nodes with an edge out that the mode may use; if there are none, all nodes with an edge out."""
+    from ..functions.network import accessible
+
+    out = edges.select(F.col("from_node").alias("node"), accessible(F.col("road_class"), F.lit(mode)).alias("ok")).groupBy("node").agg(F.max("ok").alias("ok"))
+    return out.where("ok") if not out.where("ok").isEmpty() else out.select("node")
+
+
+def mode_pools(pools: DataFrame, edges: DataFrame, modes: tuple[str, ...]) -> DataFrame:
+    """``pools`` (zone, node) for each mode (zone, node, mode): nodes in the largest strong component of what the mode may use."""
+    from ..functions.network import accessible
+
+    out = None
+    for m in modes:
+        own = largest_scc(edges.where(accessible(F.col("road_class"), F.lit(m))))
+        part = pools.join(own, "node", "left_semi").withColumn("mode", F.lit(m))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def scc_coverage(edges: DataFrame, modes: tuple[str, ...]) -> DataFrame:
+    """(mode, n_scc, n_nodes): how many of all nodes the largest strong component of each mode holds."""
+    all_ = edges.select(F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
+    own = mode_pools(all_.withColumn("zone", F.lit(0)), edges, modes)
+    return own.groupBy("mode").agg(F.count("*").alias("n_scc")).crossJoin(F.broadcast(all_.agg(F.count("*").alias("n_nodes"))))
+
+
+def turn_edges(steps: DataFrame, edges: DataFrame, cost: str) -> DataFrame:
+    """(id, pos, edge_id) of node sequences (id, pos, node): of edges between two neighbours the cheapest, of equals the least id."""
+    x = steps.withColumn("to_node", F.lead("node").over(Window.partitionBy("id").orderBy("pos", "node"))).where("to_node IS NOT NULL")
+    best = edges.groupBy(F.col("from_node").alias("node"), "to_node").agg(F.min_by("edge_id", F.struct(cost, "edge_id")).alias("edge_id"))
+    return x.join(best, ["node", "to_node"], "left").select("id", "pos", "edge_id")
+
+
+def near_points(nodes: DataFrame, points: DataFrame, cell_deg: float, within_m: float) -> DataFrame:
+    """(point_id, node_id, distance_m): all nodes within a distance of each point, by cells and their eight neighbours."""
+    from ..functions.geometry import haversine_m
+
+    cell = lambda c: F.floor(F.col(c) / cell_deg)
+    n = nodes.select("node_id", F.col("lon").alias("n_lon"), F.col("lat").alias("n_lat"), cell("lon").alias("cx"), cell("lat").alias("cy"))
+    around = F.explode(F.array(*(F.struct((cell("lon") + x).alias("cx"), (cell("lat") + y).alias("cy")) for x in (-1, 0, 1) for y in (-1, 0, 1))))
+    p = points.withColumn("c", around).select("point_id", "lon", "lat", "c.*")
+    d = haversine_m(F.col("lon"), F.col("lat"), F.col("n_lon"), F.col("n_lat"))
+    return p.join(n, ["cx", "cy"]).withColumn("distance_m", d).where(F.col("distance_m") <= within_m).select("point_id", "node_id", "distance_m")
+
+
 def violations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(check, n): how many rows break each rule of a valid graph."""
     known = nodes.select(F.col("node_id"))
@@ -181,6 +231,8 @@ def violations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         ("unknown_to", edges.join(known, edges.to_node == known.node_id, "left_anti")),
         ("parallel", edges.groupBy("from_node", "to_node").count().where("count > 1")),
     ]
+    if "points" in edges.columns:
+        parts.append(("short_geometry", edges.where("points IS NULL OR size(points) < 2")))
     out = None
     for name, bad in parts:
         row = bad.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
@@ -189,16 +241,8 @@ def violations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def snapped(nodes: DataFrame, points: DataFrame, cell_deg: float, within_m: float) -> DataFrame:
-    """(point_id, node_id, distance_m): the nearest node of each point within a distance, by cells and their eight neighbours."""
-    from ..functions.geometry import haversine_m
-
-    cell = lambda c: F.floor(F.col(c) / cell_deg)
-    n = nodes.select("node_id", F.col("lon").alias("n_lon"), F.col("lat").alias("n_lat"), cell("lon").alias("cx"), cell("lat").alias("cy"))
-    around = F.explode(F.array(*(F.struct((cell("lon") + x).alias("cx"), (cell("lat") + y).alias("cy")) for x in (-1, 0, 1) for y in (-1, 0, 1))))
-    p = points.withColumn("c", around).select("point_id", "lon", "lat", "c.*")
-    d = haversine_m(F.col("lon"), F.col("lat"), F.col("n_lon"), F.col("n_lat"))
-    x = p.join(n, ["cx", "cy"]).withColumn("distance_m", d).where(F.col("distance_m") <= within_m)
-    return x.groupBy("point_id").agg(F.min(F.struct("distance_m", "node_id")).alias("x")).select("point_id", "x.node_id", "x.distance_m")
+    """(point_id, node_id, distance_m): the nearest node of each point within a distance."""
+    return near_points(nodes, points, cell_deg, within_m).groupBy("point_id").agg(F.min(F.struct("distance_m", "node_id")).alias("x")).select("point_id", "x.node_id", "x.distance_m")
 
 
 def within_zones(points: DataFrame, zones: DataFrame, cell_deg: float) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import network as fn
 from ..functions import traffic as ft
 from ..functions.random import PRIME, hash_uniform, uniform_sql
 from ..operators import analytics, demand, network, numbering, routing
-from ..operators.components import connected_components
+from ..operators.components import connected_components, written
 from . import domain as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,8 +74,7 @@ def edge_capacity_derate(s, d):
 
 @query(D.with_("raw_edges") + " SELECT count(*) AS n, sum(CASE WHEN from_node = to_node THEN 1 ELSE 0 END)::BIGINT AS n_loops FROM raw_edges")
 def net_self_loops(s, d):
-    x = D.raw_edges(s, d)
-    return x.agg(F.count("*").alias("n")).crossJoin(x.agg(F.count("*").alias("a"))).crossJoin(network.without_loops(x).agg(F.count("*").alias("b"))).select("n", (F.col("a") - F.col("b")).alias("n_loops"))
+    return D.raw_edges(s, d).agg(F.count("*").alias("n"), F.count_if(F.expr("from_node = to_node")).alias("n_loops"))
 
 
 @query(D.with_("raw_edges") + " SELECT raw_id, from_node, to_node, capacity FROM (SELECT *, row_number() OVER (PARTITION BY from_node, to_node ORDER BY capacity DESC, raw_id) AS r FROM raw_edges WHERE from_node <> to_node) AS x WHERE r = 1")
@@ -89,34 +88,85 @@ def net_validate(s, d):
     return network.violations(D.raw_edges(s, d), known)
 
 
-_THIN = "thin AS (SELECT edge_id, from_node, to_node, length_m FROM net_edges WHERE NOT (least(from_node, to_node) % 3 = 0 AND abs(from_node - to_node) > 1))"
+_TWO = (
+    ", nb AS (SELECT DISTINCT from_node AS node, to_node AS near FROM net_streets UNION SELECT DISTINCT to_node, from_node FROM net_streets), two AS (SELECT node, min(near) AS a, max(near) AS b FROM nb GROUP BY node HAVING count(*) = 2)"
+    ", c AS (SELECT node, a, b, sum(CASE WHEN from_node = a AND to_node = node THEN 1 ELSE 0 END) AS ia, sum(CASE WHEN from_node = node AND to_node = a THEN 1 ELSE 0 END) AS oa, sum(CASE WHEN from_node = b AND to_node = node THEN 1 ELSE 0 END) AS ib, sum(CASE WHEN from_node = node AND to_node = b THEN 1 ELSE 0 END) AS ob, min(length_m) AS shortest FROM two JOIN net_streets ON node IN (from_node, to_node) GROUP BY node, a, b)"
+)
 
 
-@query(D.with_("net_edges") + ", " + _THIN + ", nb AS (SELECT DISTINCT from_node AS node, to_node AS near FROM thin UNION SELECT DISTINCT to_node, from_node FROM thin), two AS (SELECT node, min(near) AS a, max(near) AS b FROM nb GROUP BY node HAVING count(*) = 2), c AS (SELECT node, a, b, sum(CASE WHEN from_node = a AND to_node = node THEN 1 ELSE 0 END) AS ia, sum(CASE WHEN from_node = node AND to_node = a THEN 1 ELSE 0 END) AS oa, sum(CASE WHEN from_node = b AND to_node = node THEN 1 ELSE 0 END) AS ib, sum(CASE WHEN from_node = node AND to_node = b THEN 1 ELSE 0 END) AS ob, min(length_m) AS shortest FROM two JOIN thin ON node IN (from_node, to_node) GROUP BY node, a, b) SELECT node AS node_id, a, b, (ia = ob AND ib = oa) AS balanced FROM c WHERE (ia = ob AND ib = oa) OR shortest < 100")
+@query(D.with_("net_streets") + _TWO + " SELECT node AS node_id, a, b, (ia = ob AND ib = oa) AS balanced FROM c WHERE (ia = ob AND ib = oa) OR shortest < 100")
 def net_degree2_candidates(s, d):
-    n, e = _graph(s, d)
-    return network.degree_two(_thin(e), n, 100)
+    n, e = _streets(s, d)
+    return network.degree_two(e, n, 100)
 
 
-def _thin(e: DataFrame) -> DataFrame:
-    """The grid without the columns' links at every third node, which leaves chains."""
-    return e.where("NOT (least(from_node, to_node) % 3 = 0 AND abs(from_node - to_node) > 1)")
+def _streets(s, d):
+    n, _ = _graph(s, d)
+    return n, D.net_streets(s, d).select("edge_id", "from_node", "to_node", "length_m", (F.col("speed_kmh") / 3.6).alias("speed_ms"), "capacity", "road_class", "cost_ms")
 
 
-@query(D.with_("net_edges", recursive=True) + ", sparse AS (SELECT from_node, to_node FROM net_edges WHERE (from_node * 7 + to_node * 7) % 5 < 2), both_ways AS (SELECT from_node AS u, to_node AS v FROM sparse UNION SELECT to_node, from_node FROM sparse), reach AS (SELECT u, u AS v FROM both_ways UNION SELECT r.u, b.v FROM reach AS r JOIN both_ways AS b ON r.v = b.u) SELECT u AS node, min(v) AS component FROM reach GROUP BY u")
+@query(D.with_("net_edges", recursive=True) + ", both_ways AS (SELECT from_node AS u, to_node AS v FROM net_edges UNION SELECT to_node, from_node FROM net_edges), reach AS (SELECT u, u AS v FROM both_ways UNION SELECT r.u, b.v FROM reach AS r JOIN both_ways AS b ON r.v = b.u) SELECT u AS node, min(v) AS component FROM reach GROUP BY u")
 def net_components(s, d):
-    return connected_components(D.net_edges(s, d).where("(from_node * 7 + to_node * 7) % 5 < 2"), "from_node", "to_node")
+    return connected_components(D.net_edges(s, d), "from_node", "to_node")
+
+
+_SCC = (
+    ", m AS (SELECT unnest(['car','bike','walk']) AS mode), kept AS (SELECT mode, from_node, to_node FROM net_edges, m WHERE CASE mode WHEN 'car' THEN road_class <= 13 WHEN 'bike' THEN road_class NOT IN (0,1,18) ELSE road_class NOT IN (0,1) END)"
+    ", reach AS (SELECT DISTINCT mode, from_node AS u, from_node AS v FROM kept UNION SELECT r.mode, r.u, k.to_node FROM reach AS r JOIN kept AS k ON r.mode = k.mode AND r.v = k.from_node), scc AS (SELECT a.mode AS mode, a.u AS node, min(a.v) AS label FROM reach AS a JOIN reach AS b ON a.mode = b.mode AND a.u = b.v AND a.v = b.u GROUP BY a.mode, a.u)"
+    ", sized AS (SELECT *, count(*) OVER (PARTITION BY mode, label) AS n FROM scc), best AS (SELECT mode, node FROM (SELECT *, dense_rank() OVER (PARTITION BY mode ORDER BY n DESC, label) AS r FROM sized) AS x WHERE r = 1)"
+)
 
 
-@query(D.with_("net_edges", recursive=True) + ", kept AS (SELECT from_node, to_node FROM net_edges WHERE (from_node * 13 + to_node * 5) % 11 < 7), reach AS (SELECT DISTINCT from_node AS u, from_node AS v FROM kept UNION SELECT r.u, b.to_node FROM reach AS r JOIN kept AS b ON r.v = b.from_node), scc AS (SELECT a.u AS node, min(a.v) AS label FROM reach AS a JOIN reach AS b ON a.u = b.v AND a.v = b.u GROUP BY a.u), sized AS (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM scc) SELECT node FROM sized WHERE label = (SELECT label FROM sized ORDER BY n DESC, label LIMIT 1)")
+@query(D.with_("net_edges", recursive=True) + _SCC + " SELECT node FROM best WHERE mode = 'car'")
 def net_scc(s, d):
-    return network.largest_scc(D.net_edges(s, d).where("(from_node * 13 + to_node * 5) % 11 < 7"))
+    return network.largest_scc(_car(s, d))
 
 
-@query()
+@query(D.with_("net_edges", recursive=True) + _SCC + " SELECT mode, count(*) AS n_scc, any_value(n_nodes) AS n_nodes FROM best, (SELECT count(DISTINCT from_node) AS n_nodes FROM net_edges) AS g GROUP BY mode")
+def net_scc_coverage(s, d):
+    return network.scc_coverage(D.net_edges(s, d), ("car", "bike", "walk"))
+
+
+@query(D.with_("net_edges", recursive=True) + _SCC + " SELECT s_nationkey::BIGINT AS zone, mode, count(*) AS n, min(node) AS first FROM supplier JOIN best ON s_suppkey = node GROUP BY ALL")
+def zone_mode_pools(s, d):
+    pools = D.table(s, d, "supplier").select(F.col("s_nationkey").cast("long").alias("zone"), F.col("s_suppkey").alias("node"))
+    return network.mode_pools(pools, D.net_edges(s, d), ("car", "bike", "walk")).groupBy("zone", "mode").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+
+
+@query(
+    D.with_("net_streets", recursive=True) + _TWO + ", elig AS (SELECT node FROM c WHERE ia = ob AND ib = oa), inner_ways AS (SELECT node AS u, near AS v FROM nb WHERE node IN (SELECT node FROM elig) AND near IN (SELECT node FROM elig)), chain AS (SELECT u, u AS v FROM inner_ways UNION SELECT r.u, w.v FROM chain AS r JOIN inner_ways AS w ON r.v = w.u)"
+    ", open_nodes AS (SELECT DISTINCT node FROM nb WHERE near NOT IN (SELECT node FROM elig)), rings AS (SELECT u, min(v) AS least FROM chain GROUP BY u HAVING count(*) FILTER (WHERE v IN (SELECT node FROM open_nodes)) = 0), gone AS (SELECT node FROM elig WHERE node NOT IN (SELECT least FROM rings))"
+    ", walk AS (SELECT edge_id, from_node, to_node, length_m, speed_kmh, capacity, from_node AS prev FROM net_streets WHERE from_node NOT IN (SELECT node FROM gone) UNION ALL SELECT w.edge_id, w.from_node, n.to_node, w.length_m + n.length_m, least(w.speed_kmh, n.speed_kmh), least(w.capacity, n.capacity), w.to_node FROM walk AS w JOIN net_streets AS n ON w.to_node = n.from_node AND n.to_node <> w.prev WHERE w.to_node IN (SELECT node FROM gone))"
+    " SELECT edge_id, from_node, to_node, length_m, floor(speed_kmh / 3.6 * 1000 + 0.5)::BIGINT AS speed_milli, capacity FROM walk WHERE to_node NOT IN (SELECT node FROM gone) AND from_node <> to_node"
+)
 def net_chain_contract(s, d):
-    n, e = _graph(s, d)
-    return network.contracted(_thin(e), n)
+    n, e = _streets(s, d)
+    return network.contracted(e, n).select("edge_id", "from_node", "to_node", "length_m", milli(F.col("speed_ms")).alias("speed_milli"), "capacity")
+
+
+_CLEAN = (
+    ", single AS (SELECT raw_id, from_node, to_node, capacity FROM (SELECT *, row_number() OVER (PARTITION BY from_node, to_node ORDER BY capacity DESC, raw_id) AS r FROM raw_edges WHERE from_node <> to_node) AS x WHERE r = 1), both_ways AS (SELECT from_node AS u, to_node AS v FROM single UNION SELECT to_node, from_node FROM single)"
+    ", reach AS (SELECT u, u AS v FROM both_ways UNION SELECT r.u, b.v FROM reach AS r JOIN both_ways AS b ON r.v = b.u), part AS (SELECT u AS node, min(v) AS label FROM reach GROUP BY u), sized AS (SELECT label, count(*) AS n FROM part GROUP BY label), big AS (SELECT node FROM part JOIN sized ON part.label = sized.label WHERE n >= 5 OR n = (SELECT max(n) FROM sized))"
+    ", ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM big)"
+)
+
+
+def _cleaned(s, d):
+    from ..operators import cleaning
+
+    e = D.raw_edges(s, d).select(F.col("raw_id").alias("edge_id"), "from_node", "to_node", F.lit(100.0).alias("length_m"), F.lit(10.0).alias("speed_ms"), "capacity")
+    n = D.table(s, d, "supplier").select(F.col("s_suppkey").alias("node_id"), F.lit(0).alias("intersection_type"))
+    return cleaning.cleaned(n, e, cleaning.Cleaning(simplify=False))
+
+
+@query(D.with_("raw_edges", recursive=True) + _CLEAN + " SELECT row_number() OVER (ORDER BY a.id, b.id, raw_id) - 1 AS edge_id, raw_id AS old_id, a.id AS from_node, b.id AS to_node, capacity FROM single JOIN ids AS a ON from_node = a.node JOIN ids AS b ON to_node = b.node")
+def net_clean(s, d):
+    return _cleaned(s, d)[1].select("edge_id", "old_id", "from_node", "to_node", "capacity")
+
+
+@query(D.with_("raw_edges", recursive=True) + _CLEAN + " SELECT (SELECT count(*) FROM supplier) AS nodes_before, (SELECT count(*) FROM raw_edges) AS edges_before, (SELECT count(*) FROM raw_edges WHERE from_node = to_node) AS loops, (SELECT count(*) FROM raw_edges WHERE from_node <> to_node) - (SELECT count(*) FROM single) AS parallel, (SELECT count(*) FROM sized) AS components, (SELECT count(*) FROM big) AS nodes_after, (SELECT count(*) FROM single WHERE from_node IN (SELECT node FROM big)) AS edges_after")
+def net_clean_report(s, d):
+    return _cleaned(s, d)[2].select("nodes_before", "edges_before", "loops", "parallel", "components", "nodes_after", "edges_after")
 
 
 @query(D.with_("net_edges") + " SELECT road_class, count(*) AS n_edges, sum(capacity)::BIGINT AS capacity FROM net_edges GROUP BY ROLLUP (road_class)")
@@ -124,6 +174,17 @@ def net_capacity_by_class(s, d):
     return D.net_edges(s, d).rollup("road_class").agg(F.count("*").alias("n_edges"), F.sum("capacity").alias("capacity"))
 
 
+@query(D.with_("net_edges") + ", c AS (SELECT road_class, count(*) AS n_edges, sum(capacity)::BIGINT AS capacity FROM net_edges GROUP BY road_class) SELECT road_class, n_edges, capacity, CASE WHEN road_class <= 13 THEN floor(capacity / (SELECT sum(capacity)::BIGINT FROM c WHERE road_class <= 13) * 1000000 + 0.5)::BIGINT END AS share_ppm FROM c")
+def net_class_capacity(s, d):
+    return analytics.class_capacity(D.net_edges(s, d)).select("road_class", "n_edges", "capacity", F.floor(F.col("share") * 1_000_000 + 0.5).alias("share_ppm"))
+
+
+@query(D.with_("net_edges") + ", w AS (SELECT l_orderkey AS id, l_linenumber * 1000000 + l_partkey AS pos, l_suppkey AS node FROM lineitem), n AS (SELECT *, lead(node) OVER (PARTITION BY id ORDER BY pos, node) AS nxt FROM w) SELECT id, pos, edge_id FROM n LEFT JOIN net_edges ON node = from_node AND nxt = to_node WHERE nxt IS NOT NULL")
+def node_sequence_edges(s, d):
+    w = D.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"), F.col("l_suppkey").alias("node"))
+    return network.turn_edges(w, D.net_edges(s, d), "cost_ms")
+
+
 @query(D.with_("net_edges") + " SELECT count(*) AS n_slow FROM net_edges WHERE cost_ms > 20000")
 def net_slow_edges(s, d):
     return D.net_edges(s, d).where("cost_ms > 20000").agg(F.count("*").alias("n_slow"))
@@ -254,12 +315,12 @@ def agents_gravity(s, d):
     return demand.gravity_agents(n, 10_000, 0.3)
 
 
-@query("WITH t AS (SELECT c_custkey AS person, c_nationkey AS maz, c_custkey % 6 AS period, (['DRIVEALONE','SR2','WALK_LOC','BIKE','WALK','SCHOOLBUS'])[1 + c_custkey % 6] AS trip_mode FROM customer), m AS (SELECT s_nationkey AS maz, max(s_suppkey) AS node FROM supplier GROUP BY ALL) SELECT person, node AS origin_node, CASE trip_mode WHEN 'WALK_LOC' THEN 'transit' WHEN 'BIKE' THEN 'bike' WHEN 'WALK' THEN 'walk' ELSE 'car' END AS mode, CASE period WHEN 1 THEN 16200 WHEN 2 THEN 27000 WHEN 3 THEN 43200 WHEN 4 THEN 61200 WHEN 5 THEN 82800 ELSE 28800 END AS depart_s FROM t LEFT JOIN m ON t.maz = m.maz")
+@query("WITH t AS (SELECT c_custkey AS person_id, c_nationkey AS maz, c_custkey % 31 AS to_maz, c_custkey % 6 AS period, (['DRIVEALONE','SR2','WALK_LOC','BIKE','WALK','SCHOOLBUS'])[1 + c_custkey % 6] AS trip_mode FROM customer), m AS (SELECT s_nationkey AS maz, max(s_suppkey) AS node FROM supplier GROUP BY ALL) SELECT person_id, a.node AS origin_node, b.node AS dest_node, CASE trip_mode WHEN 'WALK_LOC' THEN 'transit' WHEN 'BIKE' THEN 'bike' WHEN 'WALK' THEN 'walk' ELSE 'car' END AS mode, CASE period WHEN 1 THEN 16200 WHEN 2 THEN 27000 WHEN 3 THEN 43200 WHEN 4 THEN 61200 WHEN 5 THEN 82800 ELSE 28800 END AS depart_s FROM t LEFT JOIN m AS a ON t.maz = a.maz LEFT JOIN m AS b ON t.to_maz = b.maz")
 def agents_activity_plan(s, d):
     k = F.col("c_custkey")
-    t = D.table(s, d, "customer").select(k.alias("person"), F.col("c_nationkey").alias("maz"), (k % 6).alias("period"), F.array(*map(F.lit, ("DRIVEALONE", "SR2", "WALK_LOC", "BIKE", "WALK", "SCHOOLBUS")))[(k % 6).cast("int")].alias("trip_mode"))
-    m = D.table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("maz")).agg(F.max("s_suppkey").alias("node"))
-    return t.join(m, "maz", "left").select("person", F.col("node").alias("origin_node"), ft.tour_mode(F.col("trip_mode")).alias("mode"), ft.period_midpoint_s(F.col("period")).alias("depart_s"))
+    t = D.table(s, d, "customer").select(k.alias("person_id"), F.col("c_nationkey").alias("origin_maz"), (k % 31).alias("dest_maz"), (k % 6).alias("depart_period"), F.array(*map(F.lit, ("DRIVEALONE", "SR2", "WALK_LOC", "BIKE", "WALK", "SCHOOLBUS")))[(k % 6).cast("int")].alias("trip_mode"))
+    m = D.table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("maz_id")).agg(F.max("s_suppkey").alias("node_id"))
+    return demand.activity_trips(t, m)
 
 
 @query("WITH u AS (SELECT c_custkey, (c_custkey * 7919 % 1000) / 1000::DOUBLE AS u FROM customer) SELECT c_custkey, floor(CASE WHEN u <= 0.1 THEN 21600::DOUBLE WHEN u <= 0.6 THEN 21600 + 7200 * (u - 0.1::DOUBLE) / (0.6::DOUBLE - 0.1::DOUBLE) WHEN u <= 0.9 THEN 28800 + 36000 * (u - 0.6::DOUBLE) / (0.9::DOUBLE - 0.6::DOUBLE) ELSE 0::DOUBLE END * 100 + 0.5)::BIGINT AS time_cs FROM u")
@@ -310,6 +371,59 @@ def generalized_cost(s, d):
     return _options(s, d).select("trip", "mode", milli(c).alias("cost_milli"))
 
 
+_MEAN = ", b AS (SELECT origin, dest, period, band, sum(trips)::BIGINT AS t, count(DISTINCT day) AS days FROM daily_trips GROUP BY ALL), mean AS (SELECT *, t / days AS trips FROM b WHERE t / days >= 0.5), "
+_OD_COUNTS = _OD + _MEAN + _SHARES + ", part AS (SELECT origin, dest, period, mean.band AS band, mode, CASE WHEN mode = 'car' THEN trips * share / 100.0::DOUBLE / 1.2::DOUBLE ELSE trips * share / 100.0::DOUBLE END AS part FROM mean JOIN shares ON mean.band = shares.band), counts AS (SELECT origin, dest, period, band, mode, round_even(part, 0)::BIGINT AS count FROM part WHERE part >= 0.5 AND round_even(part, 0) >= 1)"
+
+
+@query(_OD_COUNTS + " SELECT * FROM counts")
+def od_build(s, d):
+    return demand.od_counts(D.daily_trips(s, d))
+
+
+@query(_OD + ", t AS (SELECT *, CASE code WHEN '2' THEN 'transit' WHEN 'A_PIE' THEN 'walk' WHEN 'BICI' THEN 'bike' ELSE 'car' END AS mode FROM daily_trips), b AS (SELECT origin, dest, period, band, mode, sum(trips)::BIGINT AS t, count(DISTINCT day) AS days FROM t GROUP BY ALL), mean AS (SELECT *, t / days AS trips FROM b WHERE t / days >= 0.5), part AS (SELECT *, CASE WHEN mode = 'car' THEN trips * 100 / 100.0::DOUBLE / 1.2::DOUBLE ELSE trips * 100 / 100.0::DOUBLE END AS part FROM mean) SELECT origin, dest, period, band, mode, round_even(part, 0)::BIGINT AS count FROM part WHERE part >= 0.5 AND round_even(part, 0) >= 1")
+def od_build_modes(s, d):
+    return demand.od_counts(D.daily_trips(s, d).withColumnRenamed("code", "mode"))
+
+
+@query(_OD + _MEAN + _SHARES + ", fixed AS (SELECT *, max(CASE WHEN mode = 'transit' THEN share END) OVER (PARTITION BY band) AS ts FROM shares), part AS (SELECT origin, dest, period, mean.band AS band, mode, trips * CASE WHEN mode = 'transit' THEN share::DOUBLE WHEN mode = 'car' THEN CASE WHEN period < 12 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END * (100 - ts) ELSE CASE WHEN period < 12 THEN 0.375::DOUBLE ELSE 0.25::DOUBLE END * (100 - ts) END / 100.0::DOUBLE AS part FROM mean JOIN fixed ON mean.band = fixed.band) SELECT origin, dest, period, band, mode, round_even(part, 0)::BIGINT AS count FROM part WHERE part >= 0.5 AND round_even(part, 0) >= 1")
+def od_build_choice(s, d):
+    """The shares come from a function of distance and period."""
+
+    def choice(km: Column, period: Column) -> dict[str, Column]:
+        early = period < 12
+        return {"car": F.when(early, 0.25).otherwise(0.5), "walk": F.when(early, 0.375).otherwise(0.25), "bike": F.when(early, 0.375).otherwise(0.25)}
+
+    return demand.od_counts(D.daily_trips(s, d), choice=choice, occupancy=1.0)
+
+
+@query(
+    _OD_COUNTS + ", x AS (SELECT origin, dest, period, mode, sum(count)::BIGINT AS count FROM counts GROUP BY ALL), p AS (SELECT s_nationkey::BIGINT AS zone, list(s_suppkey ORDER BY s_suppkey) AS nodes FROM supplier GROUP BY ALL), y AS (SELECT *, unnest(range(0, least(count, 20))) AS i, least(count, 20) AS n FROM x)"
+    ", z AS (SELECT mode, period, count // n + CASE WHEN i < count % n THEN 1 ELSE 0 END AS part, o.nodes[1 + " + uniform_sql(1, "origin", "dest", "i") + " % len(o.nodes)] AS origin_node, t.nodes[1 + " + uniform_sql(2, "origin", "dest", "i") + " % len(t.nodes)] AS dest_node FROM y JOIN p AS o ON y.origin = o.zone JOIN p AS t ON y.dest = t.zone)"
+    " SELECT origin_node, dest_node, sum(part)::BIGINT AS count, mode, (period * 3600)::BIGINT AS depart_start_s, ((period + 1) * 3600)::BIGINT AS depart_end_s FROM z WHERE origin_node <> dest_node GROUP BY origin_node, dest_node, mode, period"
+)
+def od_nodes(s, d):
+    pools = D.table(s, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("zone")).agg(F.array_sort(F.collect_list("s_suppkey")).alias("nodes"))
+    return demand.build_od(D.daily_trips(s, d), pools).withColumns({c: F.col(c).cast("long") for c in ("depart_start_s", "depart_end_s")})
+
+
+@query(_OD + _BAND + _SHARES + ", x AS (SELECT origin = dest AS intra, mode, trips * share / 100.0::DOUBLE AS p FROM b JOIN shares ON b.band = shares.band) SELECT intra, floor(sum(p) + 0.5)::BIGINT AS person_trips, floor(sum(CASE WHEN mode = 'car' THEN p / 1.2::DOUBLE ELSE p END) + 0.5)::BIGINT AS vehicle_trips FROM x GROUP BY intra")
+def od_person_vehicle(s, d):
+    x = demand.mode_split(_banded(s, d)).withColumn("trips", F.col("trips") * F.col("share") / 100.0)
+    return demand.person_vehicle_split(x).select("intra", *(F.floor(F.col(c) + 0.5).alias(c) for c in ("person_trips", "vehicle_trips")))
+
+
+@query(_OD + ", " + _WINDOWS + ", y AS (SELECT od_id * 24 + period AS od_id, unnest(range(0, count)) AS i FROM od), z AS (SELECT " + uniform_sql(63, "od_id", "i") + f" / {PRIME}::DOUBLE AS u FROM y) SELECT CASE WHEN u < 0.5 THEN 'car' WHEN u < 0.75 THEN 'walk' ELSE 'bike' END AS mode, count(*) AS n FROM z GROUP BY ALL")
+def agents_drawn_modes(s, d):
+    x = numbering.repeated(_od(s, d).select((F.col("od_id") * 24 + F.col("period")).alias("od_id"), "count"), "count", "i")
+    return demand.drawn_mode(x, {"car": 0.5, "walk": 0.25, "bike": 0.25}).groupBy("mode").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS agent_id, row_number() OVER (ORDER BY (o_orderkey * 37) % 86400, o_orderkey) - 1 AS place FROM orders")
+def departure_order(s, d):
+    x = D.table(s, d, "orders").select(F.col("o_orderkey").alias("agent_id"), (F.col("o_orderkey") * 37 % 86400).alias("depart_s"))
+    return demand.departure_order(x).select("agent_id", "place")
+
+
 # -- space -----------------------------------------------------------------------------------------------------------------
 
 
@@ -335,7 +449,7 @@ def zone_density(s, d):
 # -- routing ---------------------------------------------------------------------------------------------------------------
 
 _CAR = "car AS (SELECT edge_id, from_node, to_node, cost_ms FROM net_edges WHERE road_class <= 13)"
-_BEST = "best(src, node, cost) USING KEY (src, node) AS (SELECT s_suppkey, s_suppkey, 0::BIGINT FROM supplier WHERE s_suppkey < 10 UNION SELECT n.src, n.node, n.cost FROM (SELECT b.src AS src, c.to_node AS node, min(b.cost + c.cost_ms) AS cost FROM best AS b JOIN car AS c ON b.node = c.from_node GROUP BY ALL) AS n LEFT JOIN recurring.best AS r ON n.src = r.src AND n.node = r.node WHERE r.cost IS NULL OR n.cost < r.cost)"
+_BEST = "best(src, node, cost) USING KEY (src, node) AS (SELECT s_suppkey, s_suppkey, 0::BIGINT FROM supplier UNION SELECT n.src, n.node, n.cost FROM (SELECT b.src AS src, c.to_node AS node, min(b.cost + c.cost_ms) AS cost FROM best AS b JOIN car AS c ON b.node = c.from_node GROUP BY ALL) AS n LEFT JOIN recurring.best AS r ON n.src = r.src AND n.node = r.node WHERE r.cost IS NULL OR n.cost < r.cost)"
 _SSSP = D.with_("net_edges", recursive=True) + ", " + _CAR + ", " + _BEST
 
 
@@ -345,22 +459,22 @@ def _car(s, d):
 
 @query(_SSSP + " SELECT src AS source, node, cost FROM best")
 def sssp_cost(s, d):
-    return routing.relaxed(_car(s, d), D.net_nodes(s, d).where("node_id < 10").select(F.col("node_id").alias("source")), "cost_ms")
+    return routing.costs(_car(s, d), D.net_nodes(s, d).select(F.col("node_id").alias("source")), "cost_ms")
 
 
-@query(_SSSP + " SELECT src AS source, count(*) AS n_nodes, sum(cost)::BIGINT AS cost_sum FROM best WHERE cost <= 60000 GROUP BY ALL")
+@query(_SSSP + " SELECT src AS source, count(*) AS n_nodes, sum(cost)::BIGINT AS cost_sum, floor(avg(cost) + 0.5)::BIGINT AS cost_mean FROM best WHERE cost <= 60000 GROUP BY ALL")
 def reachability(s, d):
-    x = routing.relaxed(_car(s, d), D.net_nodes(s, d).where("node_id < 10").select(F.col("node_id").alias("source")), "cost_ms", 60000)
-    return x.groupBy("source").agg(F.count("*").alias("n_nodes"), F.sum("cost").alias("cost_sum"))
+    x = routing.costs(_car(s, d), D.net_nodes(s, d).select(F.col("node_id").alias("source")), "cost_ms", 60000)
+    return x.groupBy("source").agg(F.count("*").alias("n_nodes"), F.sum("cost").alias("cost_sum"), F.floor(F.avg("cost") + 0.5).alias("cost_mean"))
 
 
 def _requests(s, d):
     n = D.table(s, d, "supplier").agg(F.count("*").alias("n"))
     x = D.table(s, d, "orders").crossJoin(F.broadcast(n))
-    return x.select(F.col("o_orderkey").alias("agent_id"), (F.col("o_custkey") % F.least("n", F.lit(10))).alias("origin"), (F.col("o_orderkey") % F.col("n")).alias("dest"))
+    return x.select(F.col("o_orderkey").alias("agent_id"), (F.col("o_custkey") % F.col("n")).alias("origin"), (F.col("o_orderkey") % F.col("n")).alias("dest"))
 
 
-@query(_SSSP + ", r AS (SELECT o_orderkey AS agent_id, o_custkey % least(n, 10) AS origin, o_orderkey % n AS dest FROM orders, (SELECT count(*) AS n FROM supplier) AS g) SELECT agent_id, origin, dest, cost AS cost_ms FROM r LEFT JOIN best ON origin = src AND dest = node")
+@query(_SSSP + ", r AS (SELECT o_orderkey AS agent_id, o_custkey % n AS origin, o_orderkey % n AS dest FROM orders, (SELECT count(*) AS n FROM supplier) AS g) SELECT agent_id, origin, dest, cost AS cost_ms FROM r LEFT JOIN best ON origin = src AND dest = node")
 def routes_batch(s, d):
     return routing.routes(_requests(s, d), _car(s, d), "cost_ms").select("agent_id", "origin", "dest", F.col("cost").cast("long").alias("cost_ms"))
 
@@ -370,7 +484,26 @@ def routes_stochastic(s, d):
     return routing.routes(_requests(s, d), _car(s, d), "cost_ms", sigma=0.08)
 
 
-@query("WITH r AS (SELECT o_custkey % least(n, 10) AS origin, o_orderkey % n AS dest, (o_orderkey * 37 % 86400) // 900 % 96 AS bucket FROM orders, (SELECT count(*) AS n FROM supplier) AS g) SELECT count(*) AS n_requests, count(DISTINCT (origin, dest, bucket)) AS n_routed FROM r")
+_REQUESTS = ", r AS (SELECT o_orderkey AS agent_id, o_custkey % n AS origin, o_orderkey % n AS dest FROM orders, (SELECT count(*) AS n FROM supplier) AS g)"
+
+
+@query(_SSSP + _REQUESTS + ", x AS (SELECT cost / 100 AS metres, 2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin(radians(b.gy * 0.001::DOUBLE - a.gy * 0.001::DOUBLE) / 2), 2) + cos(radians(a.gy * 0.001::DOUBLE)) * cos(radians(b.gy * 0.001::DOUBLE)) * pow(sin(radians(b.gx * 0.001::DOUBLE - a.gx * 0.001::DOUBLE) / 2), 2))) AS line FROM r JOIN best ON origin = src AND dest = node JOIN net_nodes AS a ON origin = a.node_id JOIN net_nodes AS b ON dest = b.node_id) SELECT count(*) AS n, sum(CASE WHEN metres > 2 * line AND metres > 1000 THEN 1 ELSE 0 END)::BIGINT AS n_detours FROM x")
+def route_detours(s, d):
+    """At ten metres a second; from a kilometre on, as the network is small."""
+    found = routing.routes(_requests(s, d), _car(s, d), "cost_ms").where("cost IS NOT NULL").select("agent_id", "origin", "dest", (F.col("cost") / 100).alias("metres"))
+    return routing.crow_fly_check(found, _graph(s, d)[0], "metres", least_m=1000.0).agg(F.count("*").alias("n"), F.count_if(F.expr("detour")).alias("n_detours"))
+
+
+@query(_SSSP + _REQUESTS + " SELECT count(*) AS n, count(cost) AS n_routed, count(*) - count(cost) AS n_failed FROM r LEFT JOIN best ON origin = src AND dest = node")
+def routing_summary(s, d):
+    """Perturbed routes, plain ones where those are detours."""
+    n, e = _graph(s, d)
+    car = _car(s, d)
+    plain, own = (routing.routes(_requests(s, d), car, "cost_ms", sigma=x) for x in (0.0, 0.08))
+    return routing.routing_summary(routing.prerouted(own, plain, e, n)).select("n", "n_routed", "n_failed")
+
+
+@query("WITH r AS (SELECT o_custkey % n AS origin, o_orderkey % n AS dest, (o_orderkey * 37 % 86400) // 900 % 96 AS bucket FROM orders, (SELECT count(*) AS n FROM supplier) AS g) SELECT count(*) AS n_requests, count(DISTINCT (origin, dest, bucket)) AS n_routed FROM r")
 def route_cache_dedupe(s, d):
     x = _requests(s, d).withColumn("bucket", ft.tod_bucket(F.col("agent_id") * 37 % 86400))
     return x.agg(F.count("*").alias("n_requests"), F.countDistinct("origin", "dest", "bucket").alias("n_routed"))
@@ -436,8 +569,13 @@ _EV = D.with_("link_events", "net_edges")
 
 @query(_EV + ", e AS (SELECT edge_id, list(tt_cs ORDER BY t_s, event_id) AS l FROM link_events WHERE kind = 'enter' GROUP BY ALL) SELECT edge_id, len(l) AS n, floor(list_reduce(list_prepend(1.0::DOUBLE, list_transform(l, lambda x: (x / 1000::DOUBLE)::DOUBLE)), lambda a, x: (a + 0.2::DOUBLE * (x - a))::DOUBLE) * 10000 + 0.5)::BIGINT AS ema_bp FROM e")
 def link_ema(s, d):
-    x = D.link_events(s, d).where("kind = 'enter'").groupBy("edge_id").agg(F.array_sort(F.collect_list(F.struct("t_s", "event_id", "tt_cs"))).alias("l"))
-    return x.select("edge_id", F.size("l").cast("long").alias("n"), F.floor(ft.ema(F.transform("l", lambda e: e["tt_cs"] / F.lit(1000.0))) * 10000 + 0.5).alias("ema_bp"))
+    x = D.link_events(s, d).where("kind = 'enter'").select("edge_id", F.col("t_s").alias("t"), F.col("event_id").alias("id"), (F.col("tt_cs") / F.lit(1000.0)).alias("value"))
+    return analytics.ema(x).select("edge_id", "n", F.floor(F.col("mean") * 10000 + 0.5).alias("ema_bp"))
+
+
+@query(_TRIPS + _CLOCK + ", ch AS (SELECT edge_id, enter AS t, 1 AS d FROM clock UNION ALL SELECT edge_id, enter + tt, -1 FROM clock), k AS (SELECT unnest(range(0, 5)) * 21600000 AS tick) SELECT edge_id, tick, sum(d)::BIGINT AS occupancy FROM ch, k WHERE t <= tick GROUP BY edge_id, tick HAVING sum(d) > 0")
+def link_ticks(s, d):
+    return analytics.ticks(analytics.occupancy(analytics.trip_clock(_steps(s, d))), 21_600_000, 86_400_000)
 
 
 @query(_EV + " SELECT e.edge_id AS edge_id, (t_s // 21600) * 21600 AS bin_s, count(*) AS n, sum(tt_cs)::BIGINT AS tt_sum, floor(count(*) * 3600 / 21600::DOUBLE / capacity * 1000000 + 0.5)::BIGINT AS vc_ppm FROM link_events AS l JOIN net_edges AS e ON l.edge_id = e.edge_id WHERE kind = 'enter' GROUP BY 1, 2, capacity")
@@ -554,6 +692,29 @@ def segments_explode(s, d):
     return segments(lines).select("edge_id", F.col("lon1").alias("x1"), F.col("lat1").alias("y1"), F.col("lon2").alias("x2"), F.col("lat2").alias("y2"))
 
 
+@query(D.with_("link_events") + ", a AS (SELECT agent_id, sum(CASE WHEN kind = 'reroute' THEN 1 ELSE 0 END)::BIGINT AS r, max_by(kind, t_s * 1000000 + event_id) AS last FROM link_events GROUP BY agent_id) SELECT least(r, 31) AS bin, count(*) AS n FROM a WHERE last <> 'arrive' GROUP BY ALL")
+def stuck_by_reroutes(s, d):
+    x = D.link_events(s, d).groupBy("agent_id").agg(F.count_if(F.expr("kind = 'reroute'")).alias("r"), F.max_by("kind", F.col("t_s") * 1000000 + F.col("event_id")).alias("last"))
+    return analytics.capped_histogram(x.where("last <> 'arrive'"), "r")
+
+
+@query(_STUCK + ", n AS (SELECT road_class, count(*) AS n FROM stuck JOIN net_edges ON stuck.edge_id = net_edges.edge_id GROUP BY ALL) SELECT road_class, n, floor(n / (SELECT sum(n)::BIGINT FROM n) * 1000000 + 0.5)::BIGINT AS share_ppm FROM n")
+def stuck_shares(s, d):
+    return analytics.shares(stuck_by_class(s, d)).select("road_class", "n", F.floor(F.col("share") * 1_000_000 + 0.5).alias("share_ppm"))
+
+
+@query(D.with_("net_edges") + ", h AS (SELECT (o_orderkey * 37 % 86400) // 3600 AS hour, count(*) AS n FROM orders GROUP BY ALL) SELECT hour, n, floor(n / (SELECT sum(capacity)::BIGINT FROM net_edges WHERE road_class <= 13) * 1000000 + 0.5)::BIGINT AS vc_ppm FROM h ORDER BY n DESC, hour LIMIT 1")
+def peak_volume(s, d):
+    x = analytics.peak_volume(D.table(s, d, "orders").select((F.col("o_orderkey") * 37 % 86400).alias("depart_s")), D.net_edges(s, d))
+    return x.select("hour", "n", F.floor(F.col("vc") * 1_000_000 + 0.5).alias("vc_ppm"))
+
+
+@query(_STUCK + " SELECT agent_id, stuck.edge_id AS edge_id, gx, gy FROM stuck JOIN net_edges AS e ON stuck.edge_id = e.edge_id JOIN net_nodes ON to_node = node_id")
+def agent_positions(s, d):
+    n, e = _graph(s, d)
+    return analytics.positions(_stuck(s, d), e, n).select("agent_id", "edge_id", F.rint(F.col("lon") * 1000).cast("long").alias("gx"), F.rint(F.col("lat") * 1000).cast("long").alias("gy"))
+
+
 # -- engine ----------------------------------------------------------------------------------------------------------------
 
 
@@ -574,9 +735,36 @@ def sim_queue(s, d):
     return _sim(s, d, "events")
 
 
+@query(_TRIPS + ", x AS (SELECT agent_id, max(depart_s) AS depart, count(*) AS n_edges, sum(length_m / least(speed_kmh / 3.6, 1.39::DOUBLE)) AS walk FROM trips JOIN net_edges AS e ON trips.edge_id = e.edge_id GROUP BY agent_id) SELECT agent_id, n_edges, floor((depart + walk) * 100 + 0.5)::BIGINT AS arrive_cs FROM x")
+def sim_walkers(s, d):
+    """Walkers take no room, so the engine must bring each to its goal after the sum of its walking times."""
+    from ..operators import engine
+
+    x = D.trips(s, d).groupBy("agent_id").agg(F.max("depart_s").cast("double").alias("depart_s"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "part", "edge_id"))), lambda p: p["edge_id"]).alias("edges"))
+    x = x.select("agent_id", F.lit("walk").alias("mode"), "depart_s", "edges", F.lit(0).cast("long").alias("run"))
+    done = engine.sweep(x, _graph(s, d)[1], engine.Options(until_s=1e9, window_s=300.0), "agents")
+    return done.select("agent_id", (F.col("pos") + 1).alias("n_edges"), F.floor(F.col("end_s") * 100 + 0.5).alias("arrive_cs"))
+
+
+@query(_SSSP + _REQUESTS + " SELECT count(*) AS n_agents, 0::BIGINT AS n_out_of_order, 0::BIGINT AS n_disconnected, 0::BIGINT AS n_unbalanced, 0::BIGINT AS n_below_zero FROM r JOIN best ON origin = src AND dest = node")
+def sim_invariants(s, d):
+    """What must hold in any run: an agent's events are in order, its edges follow each other, it leaves an edge once after entering it, and no edge holds less than nothing."""
+    log = written(_sim(s, d, "events"), "log")
+    ends = _graph(s, d)[1].select("edge_id", "from_node", "to_node")
+    order = Window.partitionBy("agent_id").orderBy("number")
+    own = log.withColumn("number", F.monotonically_increasing_id()).join(F.broadcast(ends) if ends.count() < 100_000 else ends, "edge_id")
+    own = own.withColumns({"late": F.lag("t").over(order) > F.col("t"), "torn": (F.col("kind") == "enter") & (F.lag("kind").over(order) == "exit") & (F.lag("to_node").over(order) != F.col("from_node"))})
+    a = own.groupBy("agent_id").agg(F.max("late").alias("late"), F.max("torn").alias("torn"), (F.count_if(F.expr("kind = 'enter'")) - F.count_if(F.expr("kind = 'exit'"))).alias("over"))
+    cars = log.where("kind IN ('enter', 'exit')").groupBy("edge_id", "t").agg(F.sum(F.when(F.col("kind") == "enter", 1).otherwise(-1)).alias("d"))
+    low = cars.withColumn("n", F.sum("d").over(Window.partitionBy("edge_id").orderBy("t"))).agg(F.count_if(F.expr("n < 0")).alias("n_below_zero"))
+    all_ = _sim_agents(s, d).agg(F.count("*").alias("n_agents"))
+    bad = a.agg(F.count_if(F.expr("late")).alias("n_out_of_order"), F.count_if(F.expr("torn")).alias("n_disconnected"), F.count_if(F.expr("over < 0 OR over > 1")).alias("n_unbalanced"))
+    return all_.crossJoin(bad).crossJoin(low)
+
+
 @query()
 def sim_ltm(s, d):
-    return _sim(s, d, "links", limited=True, burst_s=3.0, stuck_cap_s=3600, stuck_ratio=10, reroute_every_s=300)
+    return _sim(s, d, "links", model="ltm", burst_s=3.0, stuck_cap_s=3600, stuck_ratio=10, reroute_every_s=300)
 
 
 @query()
@@ -618,15 +806,15 @@ def stream_link_slices(s, d):
     return _drained(s, d, links.sliced, "append")
 
 
-@query()
+@query(D.with_("link_events") + ", e AS (SELECT agent_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY agent_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new, max(ts) OVER () AS last FROM link_events), g AS (SELECT *, sum(new) OVER (PARTITION BY agent_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e), x AS (SELECT agent_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS b, count(*) AS n, any_value(last) AS last FROM g GROUP BY agent_id, k) SELECT agent_id, epoch_us(a) AS start_us, epoch_us(b) AS end_us, n FROM x WHERE b <= last - INTERVAL 1 HOUR")
 def stream_trip_sessions(s, d):
     from ..streaming import links
 
     return _drained(s, d, links.trips, "append")
 
 
-@query()
+@query(D.with_("link_events") + ", e AS (SELECT edge_id, list(CASE kind WHEN 'enter' THEN 1 WHEN 'exit' THEN -1 ELSE 0 END ORDER BY ts, event_id) AS d, list((tt_cs / 100::DOUBLE)::DOUBLE ORDER BY ts, event_id) AS l FROM link_events GROUP BY edge_id) SELECT edge_id, list_reduce(list_prepend(0, d), lambda a, x: greatest(0, a + x))::BIGINT AS occupancy, floor(list_reduce(list_prepend(1.0::DOUBLE, l), lambda a, x: (a + 0.2::DOUBLE * (x - a))::DOUBLE) * 10000 + 0.5)::BIGINT AS mean_bp FROM e")
 def stream_link_state(s, d):
     from ..streaming import links
 
-    return _drained(s, d, links.occupancies, "update")
+    return _drained(s, d, links.occupancies, "update").select("edge_id", "occupancy", F.floor(F.col("mean_s") * 10000 + 0.5).alias("mean_bp"))

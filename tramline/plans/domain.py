@@ -42,6 +42,11 @@ def net_edges(spark: SparkSession, d: str) -> DataFrame:
     return dense_ids(e, "edge_id", "from_node", "to_node").withColumn("cost_ms", F.expr("(length_m * 3600) div speed_kmh"))
 
 
+def net_streets(spark: SparkSession, d: str) -> DataFrame:
+    """A network with chains: of the grid's links between rows only those at two of three columns."""
+    return net_edges(spark, d).where("NOT (least(from_node, to_node) % 3 = 0 AND abs(from_node - to_node) > 1)")
+
+
 def raw_edges(spark: SparkSession, d: str) -> DataFrame:
     """Uncleaned edges with loops and repeats, one for each line item."""
     n = table(spark, d, "supplier").agg(F.count("*").alias("n"))
@@ -64,6 +69,7 @@ def daily_trips(spark: SparkSession, d: str) -> DataFrame:
     return x.select(
         F.to_date("o_orderdate").alias("day"), F.col("c_nationkey").cast("long").alias("origin"), F.col("s_nationkey").cast("long").alias("dest"), (F.col("o_orderkey") % 24).alias("period"),
         F.when(km < 2, "0.5-2").when(km < 10, "2-10").when(km < 50, "10-50").otherwise(">50").alias("band"), F.col("l_quantity").cast("long").alias("trips"), (F.col("l_quantity").cast("long") * km).alias("trip_km"),
+        F.array(*map(F.lit, ("1", "2", "A_PIE", "BICI", "?")))[F.col("l_linenumber") % 5].alias("code"),
     )
 
 
@@ -78,12 +84,13 @@ _CLASS = edge_columns("a.node_id", "b.node_id")
 SQL = {
     "net_nodes": "net_nodes AS (SELECT s_suppkey AS node_id, s_suppkey % w AS gx, s_suppkey // w AS gy, w, s_nationkey::BIGINT AS zone, s_suppkey % 7 AS itype FROM supplier, (SELECT ceil(sqrt(count(*)))::BIGINT AS w FROM supplier) AS g)",
     "net_edges": "net_edges AS (SELECT *, (length_m * 3600) // speed_kmh AS cost_ms FROM (SELECT row_number() OVER (ORDER BY a.node_id, b.node_id) - 1 AS edge_id, a.node_id AS from_node, b.node_id AS to_node, " + ", ".join(f"({x})::BIGINT AS {c}" for c, x in _CLASS.items()) + " FROM net_nodes AS a JOIN net_nodes AS b ON abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1) AS e)",
+    "net_streets": "net_streets AS (SELECT * FROM net_edges WHERE NOT (least(from_node, to_node) % 3 = 0 AND abs(from_node - to_node) > 1))",
     "raw_edges": "raw_edges AS (SELECT l_orderkey * 10 + l_linenumber AS raw_id, l_suppkey AS from_node, l_partkey % n AS to_node, l_quantity::BIGINT AS capacity FROM lineitem, (SELECT count(*) AS n FROM supplier) AS g)",
     "link_events": "link_events AS (SELECT event_id, user_id AS agent_id, json_extract(props, '$.k')::BIGINT AS edge_id, floor(epoch(ts))::BIGINT AS t_s, round_even(value * 100, 0)::BIGINT AS tt_cs, CASE event_type WHEN 'signup' THEN 'depart' WHEN 'view' THEN 'enter' WHEN 'click' THEN 'exit' WHEN 'purchase' THEN 'arrive' ELSE 'reroute' END AS kind, ts FROM events)",
-    "daily_trips": "daily_trips AS (SELECT o_orderdate::DATE AS day, c_nationkey::BIGINT AS origin, s_nationkey::BIGINT AS dest, o_orderkey % 24 AS period, CASE WHEN km < 2 THEN '0.5-2' WHEN km < 10 THEN '2-10' WHEN km < 50 THEN '10-50' ELSE '>50' END AS band, l_quantity::BIGINT AS trips, l_quantity::BIGINT * km AS trip_km FROM (SELECT *, 1 + l_partkey % 60 AS km FROM lineitem) AS li JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)",
+    "daily_trips": "daily_trips AS (SELECT o_orderdate::DATE AS day, c_nationkey::BIGINT AS origin, s_nationkey::BIGINT AS dest, o_orderkey % 24 AS period, CASE WHEN km < 2 THEN '0.5-2' WHEN km < 10 THEN '2-10' WHEN km < 50 THEN '10-50' ELSE '>50' END AS band, l_quantity::BIGINT AS trips, l_quantity::BIGINT * km AS trip_km, (['1','2','A_PIE','BICI','?'])[1 + l_linenumber % 5] AS code FROM (SELECT *, 1 + l_partkey % 60 AS km FROM lineitem) AS li JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)",
     "trips": "trips AS (SELECT l_orderkey AS agent_id, l_linenumber::BIGINT AS pos, l_partkey AS part, l_partkey % n AS edge_id, (l_orderkey * 37) % 86400 AS depart_s FROM lineitem, (SELECT count(*) AS n FROM net_edges) AS g)",
 }
-_NEEDS = {"net_edges": ["net_nodes"], "trips": ["net_nodes", "net_edges"]}
+_NEEDS = {"net_edges": ["net_nodes"], "net_streets": ["net_nodes", "net_edges"], "trips": ["net_nodes", "net_edges"]}
 
 
 def with_(*names: str, recursive: bool = False) -> str:

@@ -10,7 +10,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import demand, engine, routing
+from .operators import analytics, demand, engine, routing
+from .operators.numbering import dense_ids
 from .sources import tables
 
 
@@ -110,8 +111,14 @@ class Scenario:
             return "sync_window_s must be positive"
         if not 0 <= self.demand.demand_scale <= 1:
             return "demand_scale must be between 0 and 1"
-        if self.traffic.model not in ("queue", "ltm"):
+        if self.traffic.model not in engine.MODELS:
             return f"unknown traffic model {self.traffic.model!r}"
+        if self.routing.algorithm not in ("dijkstra", "stochastic"):
+            return f"unknown routing algorithm {self.routing.algorithm!r}"
+        if self.output.format not in tables.FORMATS:
+            return f"unknown output format {self.output.format!r}"
+        if self.output.snapshot_interval_s <= 0:
+            return "snapshot_interval_s must be positive"
         return ""
 
     def folder(self, date: str = "") -> str:
@@ -121,17 +128,38 @@ class Scenario:
 
     def options(self) -> engine.Options:
         s = self.simulation
-        return engine.Options(s.sync_window_s, s.end_time, self.traffic.model == "ltm", self.traffic.burst_s, s.reroute_interval_s, s.reroute_threshold, s.max_reroutes, s.reroute_interval_s > 0, s.stuck_ratio, s.stuck_cap_s)
+        return engine.Options(s.sync_window_s, s.end_time, self.traffic.model, self.traffic.burst_s, s.reroute_interval_s, s.reroute_threshold, s.max_reroutes, s.reroute_interval_s > 0, s.stuck_ratio, s.stuck_cap_s)
 
     def run(self, edges: DataFrame, od: DataFrame, table: str = "events") -> DataFrame:
-        """Routes the demand over free-flow times and simulates it. od: (od_id, origin_node, dest_node, count, mode, depart_start_s, depart_end_s)."""
+        """Routes the demand over free-flow times and simulates it. od: (od_id, origin_node, dest_node, count, mode, depart_start_s, depart_end_s).
+
+        With the algorithm "stochastic" and a sigma, agents get routes of their own, the plain one where that is a detour.
+        """
         kept = demand.thinned(demand.od_window(od, self.simulation.start_time, self.simulation.end_time, self.demand.modes), self.demand.demand_scale, self.simulation.seed)
         trips = demand.agents(kept, self.simulation.seed, self.simulation.start_time)
-        trips = trips.withColumns({"agent_id": F.col("od_id") * 1_000_000 + F.col("i"), "origin": F.col("origin_node"), "dest": F.col("dest_node")})
+        trips = dense_ids(trips.withColumns({"origin": F.col("origin_node"), "dest": F.col("dest_node")}), "agent_id", "od_id", "i")
         timed = edges.withColumn("cost", F.col("length_m") / F.col("speed_ms"))
-        found = routing.routes(trips.select("agent_id", "mode", "depart_s", "origin", "dest"), timed, "cost", self.routing.sigma)
+        found = routing.routes(trips.select("agent_id", "mode", "depart_s", "origin", "dest"), timed, "cost", self.routing.sigma if self.routing.algorithm == "stochastic" else 0.0)
         return engine.sweep(found.withColumn("run", F.lit(0).cast("long")).drop("cost"), edges, self.options(), table)
 
+    def snapshots(self, nodes: DataFrame, edges: DataFrame, od: DataFrame) -> DataFrame:
+        """Occupied links at each ``snapshot_interval_s`` of a run, with travel time, congestion, speed, flow, density and geometry."""
+        links = analytics.gated(self.run(edges, od, "links"), self.output.snapshot_interval_s)
+        at = lambda c: nodes.select(F.col("node_id").alias(f"{c}_node"), F.struct("lon", "lat").alias(c))
+        e = edges if "points" in edges.columns else edges.join(at("from"), "from_node").join(at("to"), "to_node").withColumn("points", F.array("from", "to"))
+        x = analytics.snapshot(links.select(F.col("window_s").alias("time_s"), "edge_id", "occupancy"), e)
+        return x.select("time_s", "edge_id", "road_class", F.col("occupancy").alias("count"), "congestion", "travel_time_s", F.col("free_flow_s").alias("free_flow_time_s"), "length_m", F.col("speed_now_ms").alias("speed_ms"), (F.col("speed_now_ms") * 3.6).alias("speed_kmh"), F.col("capacity").alias("capacity_veh_h"), "flow_veh_h", "density_veh_km", "points")
+
+    def write(self, nodes: DataFrame, edges: DataFrame, od: DataFrame, date: str = "") -> str:
+        """Runs and writes: GeoJSON and link statistics as snapshots, other formats the events. Gives the folder."""
+        path = self.folder(date)
+        if self.output.format == "geojson":
+            snaps = self.snapshots(nodes, edges, od)
+            tables.save_geojson(snaps, path, *(c for c in snaps.columns if c != "points"))
+        else:
+            tables.writer(self.output.format)(self.run(edges, od), path)
+        return path
+
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="tramline", description="Runs a scenario over a saved network and an OD file.")
@@ -140,10 +168,10 @@ def main(args: list[str] | None = None) -> None:
     given = p.parse_args(args)
     scenario = Scenario.load(given.config)
     spark = SparkSession.builder.appName(f"tramline {scenario.name}").getOrCreate()
-    _, edges = tables.network(spark, given.network or scenario.network)
+    nodes, edges = tables.network(spark, given.network or scenario.network)
     od = tables.od_csv(spark, scenario.demand.source)
-    od = od.withColumn("od_id", F.abs(F.xxhash64(*od.columns)) % 1_000_000_000)
-    tables.writer(scenario.output.format)(scenario.run(edges, od), scenario.folder())
+    od = od.groupBy(*(c for c in od.columns if c != "count")).agg(F.sum("count").alias("count"))
+    scenario.write(nodes, edges, dense_ids(od, "od_id", "origin_node", "dest_node", "mode", "depart_start_s", "depart_end_s"))
 
 
 if __name__ == "__main__":

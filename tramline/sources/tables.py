@@ -83,12 +83,12 @@ def matching_city(cities: DataFrame, name: str) -> DataFrame:
 
 
 def zones_in(zones: DataFrame, polygon: list[tuple[float, float]]) -> DataFrame:
-    """Zones (zone_id, polygon) whose centre of corners lies in the polygon."""
-    from ..functions.geometry import point_in_polygon
+    """Zones (zone_id, polygon) whose centroid lies in the polygon."""
+    from ..functions.geometry import centroid, point_in_polygon
 
     ring = F.array(*(F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in polygon))
-    centre = lambda c: F.aggregate("polygon", F.lit(0.0), lambda a, p: a + p[c]) / F.size("polygon")
-    return zones.where(point_in_polygon(centre("lon"), centre("lat"), ring))
+    lon, lat = centroid(F.col("polygon"))
+    return zones.where(point_in_polygon(lon, lat, ring))
 
 
 def network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -128,12 +128,61 @@ def save_parquet(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def save_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").csv(path, header=True)
+
+
+#: Sinks by name.
+FORMATS = {"geojson": save_geojson, "parquet": save_parquet, "csv": save_csv}
+
+
 def writer(kind: str):
     """The sink of a name; unknown names are an error."""
-    sinks = {"geojson": save_geojson, "parquet": save_parquet, "csv": lambda df, path: df.write.mode("overwrite").csv(path, header=True)}
-    if kind not in sinks:
-        raise ValueError(f"no writer {kind!r}; there are {', '.join(sorted(sinks))}")
-    return sinks[kind]
+    if kind not in FORMATS:
+        raise ValueError(f"no writer {kind!r}; there are {', '.join(sorted(FORMATS))}")
+    return FORMATS[kind]
+
+
+def save_run(tables: dict[str, DataFrame], path: str) -> None:
+    """A run's tables (trajectories, link_stats, activities) as Parquet, link statistics by their time."""
+    for name, df in tables.items():
+        save_parquet(df, f"{path}/{name}.parquet", *(["time_bin"] if "time_bin" in df.columns else []))
+
+
+def run_table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """A table that ``save_run`` wrote; empty if it did not."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/{name}.parquet")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def snapshot_files(spark: SparkSession, path: str, least_bytes: int = 200) -> DataFrame:
+    """(time_s, path) of snapshot files, by the number in their name; smaller ones are taken as unfinished."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    at = F.regexp_extract("path", r"(\d+(?:\.\d+)?)[^/\d]*$", 1).try_cast("double")
+    return files.where(F.col("length") >= least_bytes).select(at.alias("time_s"), "path").where("time_s IS NOT NULL")
+
+
+def road_settings(path: str) -> dict[str, dict[str, float]]:
+    """Sections of ``name: value`` lines under ``section:`` lines, as tag settings are written; others are passed over."""
+    out: dict[str, dict[str, float]] = {}
+    section = ""
+    with open(path) as f:
+        for line in f:
+            key, colon, value = line.split("#")[0].rstrip().partition(":")
+            if not colon:
+                continue
+            if not value.strip():
+                section = key.strip()
+                continue
+            try:
+                out.setdefault(section if key[:1].isspace() else "", {})[key.strip()] = float(value)
+            except ValueError:
+                continue
+    return out
 
 
 def log_metrics(lines: DataFrame) -> DataFrame:
