@@ -64,4 +64,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+#: What SQL can say. The others hold models, tokenizers or hashes that it lacks; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    # Every 400 bytes from every byte on, as hexadecimal digits; starts that occur twice; their union; what lies between.
+    "op1_suffix_array_dedup": """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents), n AS (SELECT doc_id, hx, len(hx) // 2 AS n_bytes FROM d),
+    w AS (SELECT doc_id, i, md5(substr(hx, 2 * i + 1, 800)) AS h FROM (SELECT doc_id, hx, unnest(range(0, n_bytes - 399)) AS i FROM n WHERE n_bytes >= 400) AS x),
+    s AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM w) AS x WHERE c > 1),
+    g AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT *, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS before FROM s) AS x),
+    r AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, k),
+    p AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_b, a AS to_b, b - a AS gone FROM r),
+    t AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) AS n_spans, max(to_b + gone) AS last FROM p GROUP BY doc_id),
+    k AS (SELECT p.doc_id AS doc_id, string_agg(substr(hx, 2 * from_b + 1, 2 * (to_b - from_b)), '' ORDER BY from_b) AS kept FROM p JOIN n ON p.doc_id = n.doc_id GROUP BY p.doc_id)
+    SELECT n.doc_id AS doc_id, n_bytes::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(hx, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM n LEFT JOIN t ON n.doc_id = t.doc_id LEFT JOIN k ON n.doc_id = k.doc_id
+    """,
+}
