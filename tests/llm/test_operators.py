@@ -440,18 +440,45 @@ def test_token_counts(spark, block):
     own = Tokenizer.from_file(WORD_BPE)
     own.encode_special_tokens = True
     texts = [*ODD, prose(40, 50), prose(41, 300)]
-    blocks = token_scan.token_blocks(frame(spark, texts).coalesce(2), WORD_BPE, 49407, block)
-    got = token_scan.stitched(token_scan.scanned(blocks, 49407)).select(F.explode(F.arrays_zip("doc_ids", "lengths")).alias("x")).select("x.*").collect()
-    assert {r["doc_ids"]: r["lengths"] for r in got} == {i: len(own.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    ids = [*range(len(texts) - 1), None]
+    got = rows(token_scan.digest(frame(spark, texts, ids).coalesce(2), WORD_BPE, block_bytes=block), "doc_id", "n_tokens")
+    assert sorted(got, key=str) == sorted(((i, len(own.encode(t or "", add_special_tokens=False).ids)) for i, t in zip(ids, texts, strict=True)), key=str)
     assert token_scan.digest(frame(spark, []), WORD_BPE).count() == 0
+    twice = rows(token_scan.digest(frame(spark, ["one", "one"], [3, 3]), WORD_BPE), "doc_id", "n_tokens")
+    assert len(twice) == 2 and twice[0] == twice[1]
 
 
-def test_flat_files(spark, tmp_path):
+@pytest.mark.parametrize("split", [0, 700])
+def test_flat_files(spark, tmp_path, split):
+    """Any bytes, in one split or many; with the bytes of a line's end and of a byte order mark; an odd byte at the end."""
     ids = np.array([5, 6, 9, 9, 7, 8, 8, 8, 9, 1, 2], np.uint16)
-    (tmp_path / "a.bin").write_bytes(ids.tobytes())
-    (tmp_path / "b.bin").write_bytes(b"")
-    got = token_scan.document_counts(token_scan.blocks_of_files(spark, str(tmp_path), 4), 9)
-    assert sorted(rows(got, "document", "n_tokens", "ended")) == [(0, 2, True), (1, 0, True), (2, 4, True), (3, 2, False)]
+    r = np.random.default_rng(6)
+    long = r.integers(0, 40, 3000).astype(np.uint16)
+    long[r.integers(0, 3000, 400)] = 10
+    mark = np.frombuffer(b"\xef\xbb\xbf\x00\x0a\x0a" * 300, np.uint16)
+    files = {"a": ids.tobytes(), "b": b"", "c": long.tobytes(), "d": mark.tobytes() + ids.tobytes() + b"\x0a", "e": b"\x0a" * 7}
+    for name, data in files.items():
+        (tmp_path / f"{name}.bin").write_bytes(data)
+    want = []
+    for name, data in files.items():
+        x = np.frombuffer(data[: len(data) // 2 * 2], np.uint16)
+        e = np.r_[-1, np.flatnonzero(x == 9)]
+        want += [(name, k, int(b - a - 1), True) for k, (a, b) in enumerate(zip(e, e[1:], strict=False))] + ([(name, len(e) - 1, len(x) - int(e[-1]) - 1, False)] if len(x) > e[-1] + 1 else [])
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.minPartitionNum", 1)
+    try:
+        blocks = token_scan.blocks_of_files(spark, str(tmp_path), 64)
+        got = rows(token_scan.document_counts(blocks, 9).withColumn("file", F.regexp_extract("file", r"(.)\.bin", 1)), "file", "document", "n_tokens", "ended")
+        assert sorted(got) == sorted(want)
+        whole = {}
+        for f, k, t in sorted(rows(blocks, "file", "block", "tokens")):
+            assert len(t) == 64 or k == max(b for g, b, _ in rows(blocks, "file", "block", "tokens") if g == f)
+            whole[f[-5]] = whole.get(f[-5], b"") + bytes(t)
+        assert whole == {n: d for n, d in files.items() if d}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
 
 
 def test_sentencepiece(spark):

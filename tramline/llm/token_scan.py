@@ -5,12 +5,14 @@ documents. Each block is searched for that id at once, as an array, and says how
 ends and after the last; a prefix scan over the blocks of a file joins what a block border cut. The scan has two levels, so that a
 file of any length never meets in one task: within chunks of blocks, then over the chunks.
 
-Tokens after a file's last end are a document too, marked as not ended. Empty files and empty documents count; rows of null
-documents have no tokens but an end.
+Tokens after a file's last end are a document too, marked as not ended; bytes that make no whole id at a file's end are passed over.
+Empty files and empty documents count; rows of null texts have no tokens but an end; rows that repeat are documents each; an empty
+table gives an empty result; other columns of the documents may have any name.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,50 +21,106 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, written
+from .common import shared_dir, sliced
 from .word_bpe import word_bpe
 
-BLOCK_BYTES, CHUNK, FILE_BLOCKS = 1 << 18, 4096, 4096
+BLOCK_BYTES, CHUNK = 1 << 18, 4096
 
 
-def blocks_of_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(file, block, tokens) of the flat files under ``path``; block_bytes: a multiple of an id's width. Files: up to 2 GB each."""
-    files = spark.read.format("binaryFile").load(path)
-    n = F.greatest(F.lit(1), F.ceil(F.length("content") / block_bytes))
-    return files.select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("block")).select(
-        "file", "block", F.substring("content", F.col("block") * block_bytes + 1, F.lit(block_bytes)).alias("tokens")
-    )
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, size, value) of files under ``path``, split as Spark splits files; value: the bytes up to a byte 10, in order."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"))
 
 
-def token_blocks(docs: DataFrame, path: str, end: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(file, block, tokens, doc_ids): flat 16-bit token files of documents, in blocks. doc_ids: those that end in the block."""
+def blocks_of_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(file, block, tokens) of the flat files under ``path``, of any size; block_bytes: a multiple of an id's width.
+
+    Spark's line reader, which splits files, serves to read bytes: lines and the bytes 10 between them are the file. A first pass adds up
+    the bytes before each split; with that each split cuts its bytes at multiples of ``block_bytes``, and only the two blocks at its
+    borders are put together from pieces. A file without a byte 10 in 2 GB, which no file of tokens is, would not fit a line.
+    """
+    own = _lines(spark, path).groupBy("file", "start").agg(F.sum(F.length("value") + 1).alias("n"), F.max("size").alias("size"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    own = own.withColumns({"at": F.coalesce(F.sum("n").over(before), F.lit(0)), "total": F.sum("n").over(Window.partitionBy("file"))})
+    # A file need not end with a byte 10; the reader passes over a byte order mark at its beginning.
+    own = own.select("file", F.col("start"), F.col("at"), (F.col("size") - F.col("total") > 0).alias("mark"), F.when(F.lead("at").over(Window.partitionBy("file").orderBy("start")).isNull(), F.col("size")).alias("end"))
+    own = own.withColumn("at", F.when(F.col("mark") & (F.col("at") > 0), F.col("at") + 3).otherwise(F.col("at")))
+    rows = _lines(spark, path).join(F.broadcast(own), ["file", "start"]).select("file", "start", "at", "mark", "end", "value")  # a row a split
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, at, end, held, chunks = None, 0, None, 0, []
+
+        def blocks(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal at, held, chunks
+            data = b"".join(chunks)
+            if last and end is not None:
+                data = data[: end - at]
+            i = 0
+            while i < len(data):
+                j = min(len(data), i + block_bytes - (at + i) % block_bytes)
+                if j == len(data) and not last and (at + j) % block_bytes:
+                    break
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([(at + i) // block_bytes]), pa.array([at + i]), pa.array([j - i == block_bytes]), pa.array([data[i:j]], pa.binary())], ["file", "block", "at", "whole", "tokens"])
+                i = j
+            at, chunks, held = at + i, [data[i:]], len(data) - i
+
+        for batch in batches:
+            for file, start, begin, mark, stop, value in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (file, start) != key:
+                    if key is not None:
+                        yield from blocks(True)
+                    key, at, end, chunks, held = (file, start), begin, stop, [], 0
+                    if mark and begin == 0:
+                        chunks, held = [b"\xef\xbb\xbf"], 3
+                chunks += [value, b"\n"]
+                held += len(value) + 1
+                if held >= 4 * block_bytes:
+                    yield from blocks(False)
+        if key is not None:
+            yield from blocks(True)
+
+    pieces = rows.mapInArrow(cut, "file string, block long, at long, whole boolean, tokens binary")
+    rest = pieces.where("not whole").groupBy("file", "block").agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("x"))  # a block
+    rest = rest.select("file", "block", F.aggregate("x", F.lit(b""), lambda a, p: F.concat(a, p["tokens"])).alias("tokens"))
+    return pieces.where("whole").select("file", "block", "tokens").unionByName(rest)
+
+
+def save_tokens(docs: DataFrame, path: str, out: str, end: int) -> None:
+    """Flat 16-bit token files of documents under ``out``, a file a partition: the ids of each document and the end id, nothing else (but a byte 10 behind the last).
+
+    Ids beyond 16 bits are an error. The text sink writes bytes as they are; they are handed to it in pieces between bytes 10.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = word_bpe(path, special=False)
-        file, block, held, ids, ends = TaskContext.get().partitionId() << 24, 0, bytearray(), [], []
+        own, rest = word_bpe(path, special=False), b""
+        for batch in sliced(batches, "text"):
+            parts = [rest]
+            for raw in own.encode(batch.column(0).to_pylist()):
+                ids = np.append(np.frombuffer(raw, np.uint32), end)
+                if ids.max() > 0xFFFF:
+                    raise ValueError(f"id {ids.max()} does not fit 16 bits")
+                parts.append(ids.astype("<u2").tobytes())
+            *lines, rest = b"".join(parts).split(b"\n")
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], ["value"])
+        if rest:
+            yield pa.RecordBatch.from_arrays([pa.array([rest], pa.binary())], ["value"])
 
-        def out(size: int) -> pa.RecordBatch:
-            nonlocal block, held, ids, ends, file
-            k = int(np.searchsorted(ends, size, "right"))
-            row = pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([bytes(held[:size])], pa.binary()), pa.array([ids[:k]], pa.list_(pa.int64()))], ["file", "block", "tokens", "doc_ids"])
-            held, ids, ends, block = held[size:], ids[k:], [e - size for e in ends[k:]], block + 1
-            return row
+    lines = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(each, "value binary")
+    lines.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(out)
 
-        for batch in sliced(batches, "text"):
-            for doc, raw in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
-                held += np.append(np.frombuffer(raw, np.uint32), end).astype(np.uint16).tobytes()
-                ids.append(doc)
-                ends.append(len(held))
-                while len(held) >= block_bytes:
-                    yield out(block_bytes)
-                if block >= FILE_BLOCKS:  # a file ends behind a document
-                    if held:
-                        yield out(len(held))
-                    file, block = file + 1, 0
-        if held:
-            yield out(len(held))
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(each, "file long, block long, tokens binary, doc_ids array<long>")
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(part, document, doc_id): the place of each document in the files of ``save_tokens``."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), part)), pa.array(np.arange(n, n + len(batch))), batch.column(0)], ["part", "document", "doc_id"])
+            n += len(batch)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(each, "part long, document long, doc_id long")
 
 
 def scanned(blocks: DataFrame, end: int, width: int = 2) -> DataFrame:
@@ -74,7 +132,8 @@ def scanned(blocks: DataFrame, end: int, width: int = 2) -> DataFrame:
             at = batch.schema.get_field_index("tokens")
             rows = []
             for x in batch.column(at):
-                ids = np.frombuffer(x.as_buffer(), np.dtype(f"<u{width}")) if x.is_valid else np.zeros(0, np.uint16)
+                raw = x.as_buffer() if x.is_valid else b""
+                ids = np.frombuffer(raw, np.dtype(f"<u{width}"), len(raw) // width)
                 e = np.flatnonzero(ids == end)
                 rows.append((len(ids), len(e), int(e[0]) if len(e) else len(ids), np.diff(e) - 1, int(e[-1]) + 1 if len(e) else None))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -118,7 +177,14 @@ def document_counts(blocks: DataFrame, end: int, width: int = 2) -> DataFrame:
     return whole.unionByName(rest)
 
 
-def digest(docs: DataFrame, path: str, end: int = 49407) -> DataFrame:
-    """What the query returns: (doc_id, n_tokens), counted in token files of the documents that are written for it."""
-    blocks = written(token_blocks(docs, path, end), "tokens")
-    return stitched(scanned(blocks, end)).select(F.explode(F.arrays_zip("doc_ids", "lengths")).alias("x")).select("x.doc_ids", "x.lengths").toDF("doc_id", "n_tokens")
+def digest(docs: DataFrame, path: str, end: int = 49407, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What the query returns: (doc_id, n_tokens), counted in flat token files of the documents that are written for it.
+
+    Files carry no ids of documents: these come from the documents' places in their partition, which are those of their files.
+    """
+    spark = docs.sparkSession
+    out = f"{shared_dir(spark)}/tramline/tokens-{uuid.uuid4().hex}"
+    save_tokens(docs, path, out, end)
+    counts = document_counts(blocks_of_files(spark, out, block_bytes), end).where("ended")
+    counts = counts.select(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("part"), "document", "n_tokens")
+    return numbered(docs).join(counts, ["part", "document"]).select("doc_id", "n_tokens")
