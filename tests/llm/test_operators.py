@@ -591,3 +591,21 @@ def test_links_join_what_all_pairs_join(spark, hot):
     for s, f in back.items():
         groups.setdefault(find(f), set()).add(got.get(s, s))
     assert all(len(g) == 1 for g in groups.values()) and len({x for g in groups.values() for x in g}) == len(groups)
+
+
+# -- rows that repeat --------------------------------------------------------------------------------------------------------
+
+
+def test_repeated_rows_and_none(spark):
+    """Each row gives what it gives alone; an empty table gives nothing."""
+    texts = ["Some plain text.", "Some plain text.", None, "", "another one", "another one"]
+    ids = [5, 5, None, None, 5, 7]
+    labels = spark.createDataFrame([(5, 1, 0), (7, 0, 1), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    f, none = frame(spark, texts, ids), frame(spark, [])
+    for op, n in ((lambda d: quality.digest(d, labels), 6), (lambda d: toxicity.digest(d, labels), 6), (lambda d: sp_bpe.digest(d, PIECES), 6), (lambda d: packing.packed(d, WORD_BPE), 6)):
+        got = sorted(map(str, op(f).drop("sequence_id", "offset").collect()))
+        assert len(got) == n and len(set(got)) < n
+        assert op(none).count() == 0
+    clash = f.withColumnsRenamed({"_d": "p_toxic", "_h": "tail", "key": "expected_grade"})
+    assert toxicity.clean(clash, labels).columns == clash.columns and quality.selected(clash, labels).columns == clash.columns
+    assert ann.nearest(spark.createDataFrame([(1, [1.0]), (1, [1.0])], "vec_id long, embedding array<double>"), every=1).count() == 2

@@ -7,7 +7,9 @@ The model is fitted on the driver, on ``fit_rows`` rated documents at most, thos
 ``bits`` of the hashed features bound what reaches the driver and what is sent to the workers. Scores read whole texts.
 
 Null texts count as empty; of ratings that repeat a document the least counts; null ratings and ratings without a document are
-left out; with fewer than two grades each document gets the only grade (or null) for sure. Other columns are ignored.
+left out; with fewer than two grades each document gets the only grade (or null, and stays) for sure; a tail of just the bound stays; rows
+that repeat, or have no id, are scored each; an empty table gives an empty result. Other columns may have any name; one named like a
+result is replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     """(row, column, value): share of a text's words that have a hashed word, shape, pair of shapes, or repeat the word before."""
     h = hashes(data, offsets)
     row, n = h["row"], np.bincount(h["row"], minlength=len(offsets) - 1)
-    pair = np.r_[False, row[1:] == row[:-1]]
+    pair = np.r_[False, row[1:] == row[:-1]][: len(row)]  # texts may hold no word at all
     two = mixed(h["shape"][1:] ^ (h["shape"][:-1] << np.uint64(1)))
     hashed = [(row, mixed(h["word"] + np.uint64(1))), (row, mixed(h["shape"] + np.uint64(2))), (row[pair], two[pair[1:]]), (row[h["again"]], np.full(int(h["again"].sum()), 7, np.uint64))]
     rows = np.concatenate([r for r, _ in hashed])

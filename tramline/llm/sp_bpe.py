@@ -6,7 +6,10 @@ place; a piece that does not go with its neighbour is replaced by its next short
 as failed in a bitfield and the piece before it is taken back. Characters without a piece become byte pieces.
 
 No piece has a space mark behind another character, nor a letter or digit beside a mark, so texts are cut there and the parts
-encoded; equal parts are encoded once per worker while a bounded memory lasts. Null texts count as empty; an empty text has no ids.
+encoded; equal parts are encoded once per worker while a bounded memory lasts.
+
+Null texts count as empty; an empty text has no ids; rows that repeat, or have no id, are encoded each; an empty table gives an empty
+result; other columns may have any name.
 """
 
 from __future__ import annotations
