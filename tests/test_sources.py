@@ -79,3 +79,75 @@ def test_scenario_runs(spark):
     od = spark.createDataFrame([(1, 0, 2, 3, "car", 0.0, 10.0)], "od_id long, origin_node long, dest_node long, count int, mode string, depart_start_s double, depart_end_s double")
     got = Scenario().run(e, od).groupBy("kind").agg(F.count("*").alias("n")).collect()
     assert {r["kind"]: r["n"] for r in got} == {"depart": 3, "enter": 6, "exit": 6, "arrive": 3}
+
+
+def _town(spark):
+    n = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.01, 0.0), (2, 0.02, 0.0)], "node_id long, lon double, lat double")
+    e = spark.createDataFrame([(0, 0, 1, 1100.0, 10.0, 900.0, 4), (1, 1, 2, 1100.0, 10.0, 900.0, 4)], "edge_id long, from_node long, to_node long, length_m double, speed_ms double, capacity double, road_class int")
+    od = spark.createDataFrame([(i, 0, 2, 4, "car", 0.0, 1500.0) for i in range(3)], "od_id long, origin_node long, dest_node long, count long, mode string, depart_start_s double, depart_end_s double")
+    return n, e, od
+
+
+def test_scenario_writes_snapshots_as_geojson(spark, tmp_path):
+    n, e, od = _town(spark)
+    s = Scenario.from_dict({"output": {"directory": str(tmp_path / "out"), "format": "geojson", "snapshot_interval_s": 300}})
+    lines = [json.loads(r["value"]) for r in spark.read.text(s.write(n, e, od, "2024-01-01")).collect()]
+    times = {x["properties"]["time_s"] for x in lines}
+    assert times == {90.0, 300.0, 600.0, 900.0, 1200.0}  # of each 300 s the first window in which a link is in use
+    one = lines[0]
+    assert len(one["properties"]) == 13 and one["geometry"]["type"] == "LineString" and len(one["geometry"]["coordinates"]) == 2
+    for bad in ({"output": {"format": "pdf"}}, {"routing": {"algorithm": "magic"}}, {"traffic": {"model": "magic"}}, {"output": {"snapshot_interval_s": 0}}):
+        with pytest.raises(ValueError):
+            Scenario.from_dict(bad)
+
+
+def test_agents_of_many_od_rows_stay_apart(spark):
+    n, e, od = _town(spark)
+    got = Scenario().run(e, od, "agents").collect()
+    assert sorted(r["agent_id"] for r in got) == list(range(12)) and {r["state"] for r in got} == {"arrived"}
+
+
+def test_run_tables(spark, tmp_path):
+    stats = spark.createDataFrame([(0.0, 1, 2), (300.0, 1, 3)], "time_bin double, edge_id long, count long")
+    tables.save_run({"link_stats": stats}, str(tmp_path))
+    back = tables.run_table(spark, str(tmp_path), "link_stats", "edge_id long, count long, time_bin double")
+    assert sorted(map(tuple, back.collect())) == [(1, 2, 0.0), (1, 3, 300.0)]
+    assert tables.run_table(spark, str(tmp_path), "activities", "agent_id long").count() == 0
+
+
+def test_snapshot_files_and_settings(spark, tmp_path):
+    (tmp_path / "links_300.geojson").write_text("x" * 300)
+    (tmp_path / "links_600.geojson").write_text("x")
+    assert [r["time_s"] for r in tables.snapshot_files(spark, str(tmp_path)).collect()] == [300.0]
+    y = tmp_path / "tags.yaml"
+    y.write_text("# tags\nsignals:\n  signal_cycle_s: 80\n  signal_green_frac: 0.4 # share\n  name: none\nother: 3\n")
+    assert tables.road_settings(str(y)) == {"signals": {"signal_cycle_s": 80.0, "signal_green_frac": 0.4}, "": {"other": 3.0}}
+
+
+def test_person_files(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("person_id,origin_maz,dest_maz,purpose,depart_period,trip_mode\n1,10,20,work,2,WALK\n2,x,20,work,2,WALK\n3,10,99,home,9,SR2\n")
+    (tmp_path / "m.csv").write_text("maz_id,node_id\n10,1\n20,5\n20,4\n")
+    from tramline.operators import demand
+
+    trips = demand.activity_trips(tables.person_trips_csv(spark, str(tmp_path / "p.csv")), tables.maz_nodes_csv(spark, str(tmp_path / "m.csv")))
+    assert sorted(map(tuple, trips.collect())) == [(1, 1, 5, "walk", 27000), (3, 1, None, "car", 28800)]
+
+
+def test_centroids(spark):
+    from tramline.functions.geometry import centroid
+
+    rings = [(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 1.0), (1.0, 4.0), (0.0, 4.0)]), (2, [(0.0, 0.0), (2.0, 0.0), (4.0, 0.0)])]
+    z = spark.createDataFrame(rings, "zone_id long, polygon array<struct<lon:double,lat:double>>")
+    got = {r["zone_id"]: (round(r["x"], 6), round(r["y"], 6)) for r in z.select("zone_id", *(c.alias(n) for c, n in zip(centroid(F.col("polygon")), "xy", strict=True))).collect()}
+    assert got == {1: (1.357143, 1.357143), 2: (2.0, 0.0)}
+
+
+def test_small_functions(spark):
+    from tramline.functions import network, traffic
+    from tramline.operators import demand, routing
+
+    row = spark.createDataFrame([([1, 2, 3, 4], 1, [9, 8])], "r array<long>, p int, s array<long>").select(
+        traffic.slug(F.lit(" Ile-de-France (Paris) ")).alias("slug"), network.mode_of(F.lit("BIKE")).alias("bike"), network.mode_of(F.lit("ship")).alias("ship"), demand.mode_of(F.lit("publico")).alias("file"), demand.mode_of(F.lit(None).cast("string")).alias("none"),
+        routing.spliced("r", "p", "s").alias("route"),
+    )
+    assert tuple(row.first()) == ("ile_de_france_paris", "bike", "car", "transit", "car", [1, 2, 9, 8])
