@@ -27,6 +27,24 @@ def doc_key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h")]
 
 
+#: Bits of a bitmap of document keys: 8 MB, whatever the number of documents.
+BITS = 1 << 26
+
+
+def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with _may: false only where no row of ``keys`` has their _d and _h, so such rows need not be shuffled to find that out.
+
+    The keys' hashes make a bitmap of fixed size, in parts of 32,768 bits; that is what is sent to the rows.
+    """
+    bit = F.pmod(F.xxhash64("_d", "_h"), F.lit(BITS)) + 1
+    parts = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bits"))
+    own = rows.withColumn("_bit", bit).join(F.broadcast(parts), F.bitmap_bucket_number("_bit") == F.col("_part"), "left")
+    place = F.bitmap_bit_position("_bit")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.col("_bits").isNotNull() & (F.getbit(byte, (place % 8).cast("int")) == 1)
+    return own.withColumn("_may", F.coalesce(may, F.lit(False))).drop("_bit", "_part", "_bits")
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
