@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, doc_key, merged, sliced, sliding_min, utf8, written
+from .common import Rolling, doc_key, marked, merged, sliced, sliding_min, utf8, written
 
 ANCHOR = 128
 #: Different runs of an anchor that still go to a bucket, and bytes of a bucket.
@@ -296,8 +296,8 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, min_len: int = 400, hot:
 
 def removed(docs: DataFrame, min_len: int = 400, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, spans): what stays of each text as bytes, and the maximal removed intervals."""
-    packed = squeezed(docs)
-    spans = repeated_spans(docs, packed, min_len, hot, bucket_bytes).groupBy("_d", "_h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = repeated_spans(docs, squeezed(docs), min_len, hot, bucket_bytes).groupBy("_d", "_h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = written(spans, "spans")
     ids = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_d")).schema["doc_id"].dataType.simpleString()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +311,10 @@ def removed(docs: DataFrame, min_len: int = 400, hot: int = HOT, bucket_bytes: i
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), strict=True))], ["_d", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
-    out = packed.join(spans, ["_d", "_h"], "left").mapInArrow(keep, "_d long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
+    rows = marked(docs.select(*doc_key(), F.coalesce("text", F.lit("")).alias("text")), spans)
+    press = lambda x: x.select("_d", "_h", "text").mapInArrow(_squeezed, "_d long, _h long, z binary")
+    met = press(rows.where("_may")).join(spans, ["_d", "_h"], "left")  # texts without a repeat stay where they are
+    out = met.unionByName(press(rows.where("not _may")).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))).mapInArrow(keep, "_d long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
     return out.select(F.when(F.col("_d") != -(1 << 63), F.col("_d")).cast(ids).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "spans")
 
 
