@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, packing, quality, simhash, sp_bpe, substring_dedup, suffix_dedup, syncmers, token_scan, toxicity
+from . import ann, divergence, packing, quality, simhash, sp_bpe, substring_dedup, suffix_dedup, syncmers, token_scan, toxicity
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 #: What SQL can say. The others hold models, tokenizers or hashes that it lacks; tests hold them against brute force.
@@ -78,4 +83,21 @@ ORACLES: dict[str, str] = {
     k AS (SELECT p.doc_id AS doc_id, string_agg(substr(hx, 2 * from_b + 1, 2 * (to_b - from_b)), '' ORDER BY from_b) AS kept FROM p JOIN n ON p.doc_id = n.doc_id GROUP BY p.doc_id)
     SELECT n.doc_id AS doc_id, n_bytes::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(hx, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM n LEFT JOIN t ON n.doc_id = t.doc_id LEFT JOIN k ON n.doc_id = k.doc_id
     """,
+    # Counts of (lang, source, term) for all sources and kept terms; whole-number probabilities; pairs of sources and terms ranked.
+    "op11_source_divergence": r"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3), g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, source, term),
+    x AS (SELECT g.lang AS lang, g.source AS source, k.term AS term, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    gs AS (SELECT lang, source, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM x GROUP BY lang, source),
+    p AS (SELECT x.lang AS lang, x.source AS source, term, n, 1 + 1000000000 * (n + 1) // (total + v) AS p FROM x JOIN gs ON x.lang = gs.lang AND x.source = gs.source),
+    ls AS (SELECT lang, sum(total)::HUGEINT AS total, max(v)::HUGEINT AS v FROM gs GROUP BY lang),
+    q AS (SELECT y.lang AS lang, term, 1 + 1000000000 * (n + 1) // (total + v) AS q FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM x GROUP BY lang, term) AS y JOIN ls ON y.lang = ls.lang),
+    f AS (SELECT a.lang AS lang, a.source AS source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::HUGEINT AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+    pairs AS (SELECT a.lang AS lang, a.source AS source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+    terms AS (SELECT p.lang AS lang, source, 'term' AS part, p.term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) AS u)
+    SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
 }
