@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, divergence, packing, quality, simhash, sp_bpe, substring_dedup, suffix_dedup, syncmers, token_scan, toxicity
+from . import ann, divergence, packing, quality, simhash, sp_bpe, spelling, substring_dedup, suffix_dedup, syncmers, token_scan, toxicity
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
     "op11_source_divergence": op11_source_divergence,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 #: What SQL can say. The others hold models, tokenizers or hashes that it lacks; tests hold them against brute force.
@@ -100,4 +105,19 @@ ORACLES: dict[str, str] = {
     ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) AS u)
     SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
     """,
+    # crc32 by its table, from the polynomial; near words by equal rests; forms followed by recursion.
+    "op12_spelling_variants": r"""
+    WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, i)) AS tab),
+    d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+    r AS (SELECT run, count(*) AS n, hex(encode(id || ':' || run)) AS hx FROM d WHERE length(run) >= 7 GROUP BY id, run),
+    h AS (SELECT run, n, xor(list_reduce(list_transform(range(length(hx) // 2), lambda i: ('0x' || substr(hx, (2 * i + 1)::BIGINT, 2))::BIGINT), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM r, crc),
+    o AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+    w AS (SELECT word, sum(n)::BIGINT AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    e AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w) AS x),
+    near AS (SELECT a.word AS word, b.word AS other, b.n AS n FROM e AS a JOIN e AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT e.word AS word, w.word AS other, w.n AS n FROM e JOIN w ON e.rest = w.word UNION SELECT w.word AS word, e.word AS other, e.n AS n FROM e JOIN w ON e.rest = w.word),
+    b AS (SELECT word, other, n, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+    f AS (SELECT w.word AS word, w.n AS n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.n >= 10 * w.n THEN b.other END AS form, CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n FROM w LEFT JOIN b ON b.word = w.word AND b.k = 1),
+    t AS (SELECT word, word AS root FROM f UNION ALL SELECT t.word AS word, f.form AS root FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
+    SELECT f.word AS word, f.form AS form, t.root AS root, f.n AS n, f.n_near AS n_near, f.form_n AS form_n FROM f JOIN t ON t.word = f.word JOIN f AS g ON g.word = t.root WHERE g.form IS NULL
+    """,
 }
