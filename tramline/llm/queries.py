@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, divergence, packing, quality, simhash, sp_bpe, spelling, substring_dedup, suffix_dedup, syncmers, token_scan, toxicity
+from . import ann, divergence, packing, personal_data, quality, simhash, sp_bpe, spelling, substring_dedup, suffix_dedup, syncmers, token_scan, toxicity
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_source_divergence": op11_source_divergence,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_personal_data": op13_personal_data,
 }
 
 #: What SQL can say. The others hold models, tokenizers or hashes that it lacks; tests hold them against brute force.
