@@ -280,8 +280,10 @@ def fitted(found: DataFrame, fit_spans: int = FIT_SPANS) -> tuple[dict[int, Reli
     """The label model of each kind, from all spans, and the classifier of each kind, from ``fit_spans`` of them: those with the least hashes."""
     spans = found.select(F.explode("spans").alias("x")).select("x.*")
     patterns = spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).orderBy("kind", "votes").collect()  # at most 3^7 a kind
-    order = F.xxhash64("kind", "before", "body", "after", "start")
-    some = spans.select("kind", "votes", "before", "body", "after", order.alias("h"), "start").orderBy("h", "kind", "start", "body").limit(fit_spans).collect()
+    # Hashes under a bound that leaves about twice as many spans as are wanted, so that tasks send no more than that to the driver.
+    share = min(1.0, 2 * fit_spans / max(1, sum(r["n"] for r in patterns)))
+    some = spans.select("kind", "votes", "before", "body", "after", "start", F.xxhash64("kind", "before", "body", "after", "start").alias("h"))
+    some = some.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.pmod("h", F.lit(1_000_000)), "h", "kind", "start", "body").limit(fit_spans).collect()
     labels, models = {}, {}
     for kind in range(len(KINDS)):
         own = [r for r in patterns if r["kind"] == kind]
