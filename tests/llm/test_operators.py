@@ -448,6 +448,22 @@ def test_token_counts(spark, block):
     assert len(twice) == 2 and twice[0] == twice[1]
 
 
+def test_token_counts_of_tables_that_are_no_plain_scan(spark, tmp_path):
+    """After a shuffle, a join and a choice of rows the places of documents still are those of their tokens."""
+    from tokenizers import Tokenizer
+
+    texts = [prose(700 + i, i % 60) for i in range(400)]
+    frame(spark, texts).repartition(7).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    library = Tokenizer.from_file(WORD_BPE)
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    keys = spark.range(400).select(F.col("id").alias("doc_id"))
+    for df in (docs, docs.repartition(4), docs.dropDuplicates(["doc_id"]), docs.join(keys, "doc_id"), docs.orderBy(F.rand(3)), docs.sample(0.5, 3).unionByName(docs.repartition(3))):
+        got = rows(token_scan.digest(df, WORD_BPE), "doc_id", "n_tokens")
+        assert len(got) >= 400 and all(n == want[i] for i, n in got)
+
+
+
 @pytest.mark.parametrize("split", [0, 700])
 def test_flat_files(spark, tmp_path, split):
     """Any bytes, in one split or many; with the bytes of a line's end and of a byte order mark; an odd byte at the end."""

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,40 +86,51 @@ def blocks_of_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYT
 
 
 def save_tokens(docs: DataFrame, path: str, out: str, end: int) -> None:
-    """Flat 16-bit token files of documents under ``out``, a file a partition: the ids of each document and the end id, nothing else (but a byte 10 behind the last).
+    """Flat 16-bit token files of documents under ``out``/kind=tokens, a file a partition: the ids of each document and the end id, nothing else (but a byte 10 behind the last).
 
-    Ids beyond 16 bits are an error. The text sink writes bytes as they are; they are handed to it in pieces between bytes 10.
+    The task that writes a file also says, under ``out``/kind=ids, which document stands at which place of it; both come of one
+    evaluation of ``docs``, so they agree however its rows were dealt. Ids beyond 16 bits are an error. The text sink writes bytes as
+    they are; they are handed to it in pieces between bytes 10, in the order of seq.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rest = word_bpe(path, special=False), b""
+        own, rest, seq, n = word_bpe(path, special=False), b"", 0, 0
+
+        def lines(kind: str, values: list[bytes]) -> pa.RecordBatch:
+            nonlocal seq
+            seq += len(values)
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(kind), len(values)), pa.array(np.arange(seq - len(values), seq)), pa.array(values, pa.binary())], ["kind", "seq", "value"])
+
         for batch in sliced(batches, "text"):
             parts = [rest]
-            for raw in own.encode(batch.column(0).to_pylist()):
+            for raw in own.encode(batch.column(1).to_pylist()):
                 ids = np.append(np.frombuffer(raw, np.uint32), end)
                 if ids.max() > 0xFFFF:
                     raise ValueError(f"id {ids.max()} does not fit 16 bits")
                 parts.append(ids.astype("<u2").tobytes())
-            *lines, rest = b"".join(parts).split(b"\n")
-            if lines:
-                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], ["value"])
+            *whole, rest = b"".join(parts).split(b"\n")
+            yield lines("ids", [f"{n + i},{'' if x is None else x}".encode() for i, x in enumerate(batch.column(0).to_pylist())])
+            n += len(batch)
+            if whole:
+                yield lines("tokens", whole)
         if rest:
-            yield pa.RecordBatch.from_arrays([pa.array([rest], pa.binary())], ["value"])
+            yield lines("tokens", [rest])
 
-    lines = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(each, "value binary")
-    lines.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(out)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(each, "kind string, seq long, value binary")
+    rows = rows.sortWithinPartitions("kind", "seq").select(F.col("value").cast("string").alias("value"), "kind")
+    rows.write.partitionBy("kind").option("lineSep", "\n").text(out)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(part, document, doc_id): the place of each document in the files of ``save_tokens``."""
+def numbered(spark: SparkSession, out: str) -> DataFrame:
+    """(part, document, doc_id): the place of each document in the files that ``save_tokens`` wrote under ``out``."""
+    line = F.split("value", ",", 2)
+    rows = spark.read.schema("value string").text(f"{out}/kind=ids")
+    return rows.select(_part(F.col("_metadata.file_path")).alias("part"), line[0].cast("long").alias("document"), F.expr("try_cast(split(value, ',', 2)[1] AS long)").alias("doc_id"))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), part)), pa.array(np.arange(n, n + len(batch))), batch.column(0)], ["part", "document", "doc_id"])
-            n += len(batch)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(each, "part long, document long, doc_id long")
+def _part(file: Column) -> Column:
+    """The number in a file's name."""
+    return F.regexp_extract(file, r"part-(\d+)[^/]*$", 1).cast("long")
 
 
 def scanned(blocks: DataFrame, end: int, width: int = 2) -> DataFrame:
@@ -180,11 +190,13 @@ def document_counts(blocks: DataFrame, end: int, width: int = 2) -> DataFrame:
 def digest(docs: DataFrame, path: str, end: int = 49407, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """What the query returns: (doc_id, n_tokens), counted in flat token files of the documents that are written for it.
 
-    Files carry no ids of documents: these come from the documents' places in their partition, which are those of their files.
+    Files carry no ids of documents: a list of places, written by the same tasks, has them. Both are deleted by whoever clears the shared folder.
     """
     spark = docs.sparkSession
     out = f"{shared_dir(spark)}/tramline/tokens-{uuid.uuid4().hex}"
     save_tokens(docs, path, out, end)
-    counts = document_counts(blocks_of_files(spark, out, block_bytes), end).where("ended")
-    counts = counts.select(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("part"), "document", "n_tokens")
-    return numbered(docs).join(counts, ["part", "document"]).select("doc_id", "n_tokens")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/kind=ids")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):  # no rows
+        return spark.createDataFrame([], "doc_id long, n_tokens long")
+    counts = document_counts(blocks_of_files(spark, f"{out}/kind=tokens", block_bytes), end).where("ended")
+    return numbered(spark, out).join(counts.select(_part(F.col("file")).alias("part"), "document", "n_tokens"), ["part", "document"]).select("doc_id", "n_tokens")
