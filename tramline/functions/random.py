@@ -48,6 +48,11 @@ def noise_multiplier(seed: Column, edge: Column, sigma: float) -> Column:
     return F.lit(1.0) + F.lit(sigma) * signed / F.lit(float(1 << 31))
 
 
+def agent_seed(agent: Column) -> Column:
+    """The 32-bit seed of an agent. The multiplier above and the constant 0xCA7F00D."""
+    return _times32(agent.cast("long").bitwiseAND(_LOW), 2654435761).bitwiseXOR(F.lit(0xCA7F00D))
+
+
 def edge_noise(agent: int, edges: np.ndarray) -> np.ndarray:
     """u in [-1, 1) of each edge (uint64) for an agent; the same hashing on arrays.
 

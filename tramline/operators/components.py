@@ -42,10 +42,18 @@ class Steps:
         out, path = _placed(df, name)
         self.paths.append(path)
         while len(self.paths) > self.held:
-            old = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(0))
-            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+            self._delete(self.paths.pop(0))
         return out
 
+    def clear(self) -> None:
+        """Deletes what is left, once nothing reads it any more."""
+        while self.paths:
+            self._delete(self.paths.pop())
+
+    def _delete(self, path: str) -> None:
+        old = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+
 
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame:
     """(node, component): for each node of an edge the least node it can reach. Direction does not count; loops and repeats do no harm.

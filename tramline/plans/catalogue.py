@@ -481,7 +481,44 @@ def routes_batch(s, d):
 
 @query()
 def routes_stochastic(s, d):
-    return routing.routes(_requests(s, d), _car(s, d), "cost_ms", sigma=0.08)
+    return routing.routes(_requests(s, d), _car(s, d), "cost_ms", sigma=0.08, landmarks=8)
+
+
+_ASKED = _SSSP + ", r AS (SELECT o_orderkey AS agent_id, o_custkey % n AS origin, o_orderkey % n AS dest FROM orders, (SELECT count(*) AS n FROM supplier) AS g)"
+
+
+@query(_ASKED + " SELECT agent_id, origin, dest, cost AS cost_ms FROM r LEFT JOIN best ON origin = src AND dest = node")
+def hierarchy_costs(s, d):
+    """All requests over a contraction hierarchy of the whole network."""
+    from ..operators import hierarchy
+
+    made = hierarchy.contracted(_car(s, d), "cost_ms")
+    return hierarchy.costs(made, _requests(s, d)).select("agent_id", "origin", "dest", F.col("cost").alias("cost_ms"))
+
+
+@query(_ASKED + " SELECT agent_id, cost AS cost_ms, cost AS edges_ms, CASE WHEN cost IS NOT NULL THEN 0::BIGINT END AS n_breaks FROM r LEFT JOIN best ON origin = src AND dest = node")
+def hierarchy_routes(s, d):
+    """Routes unpacked to edges: what these cost in sum, and where they do not join up or miss an end, must be nothing."""
+    from ..operators import hierarchy
+
+    car = written(_car(s, d), "car")
+    found = written(hierarchy.routes(hierarchy.contracted(car, "cost_ms"), _requests(s, d)), "routes")
+    walk = found.select("agent_id", "origin", "dest", F.posexplode("edges").alias("pos", "edge_id")).join(car.select("edge_id", "from_node", "to_node", F.col("cost_ms").alias("ms")), "edge_id")
+    own = walk.groupBy("agent_id", "origin", "dest").agg(F.sum("ms").alias("ms"), F.array_sort(F.collect_list(F.struct("pos", "from_node", "to_node"))).alias("x"))
+    torn = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.size("x")), lambda i: F.when(i == 1, F.element_at("x", i)["from_node"] == F.col("origin")).otherwise(F.element_at("x", F.greatest(i - 1, F.lit(1)))["to_node"] == F.element_at("x", i)["from_node"])), lambda ok: ~ok))
+    ends = F.when(F.element_at("x", -1)["to_node"] == F.col("dest"), 0).otherwise(1)
+    sums = own.select("agent_id", "ms", (torn + ends).cast("long").alias("n"))
+    some = F.col("cost").isNotNull()
+    return found.join(sums, "agent_id", "left").select("agent_id", F.col("cost").alias("cost_ms"), F.when(some, F.coalesce("ms", F.lit(0))).alias("edges_ms"), F.when(some, F.coalesce("n", F.when(F.col("origin") == F.col("dest"), 0).otherwise(1).cast("long"))).alias("n_breaks"))
+
+
+@query(_ASKED + " SELECT origin, dest, cost AS cost_ms FROM (SELECT DISTINCT origin, dest FROM r) AS q LEFT JOIN best ON origin = src AND dest = node")
+def landmark_routes(s, d):
+    """A search led by landmarks for each pair that is asked for."""
+    from ..operators import landmarks
+
+    asked = _requests(s, d).select("origin", "dest").distinct()
+    return landmarks.effort(asked, _car(s, d), "cost_ms").select("origin", "dest", F.col("cost").cast("long").alias("cost_ms"))
 
 
 _REQUESTS = ", r AS (SELECT o_orderkey AS agent_id, o_custkey % n AS origin, o_orderkey % n AS dest FROM orders, (SELECT count(*) AS n FROM supplier) AS g)"
