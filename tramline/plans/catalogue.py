@@ -816,24 +816,26 @@ def sim_sensitivity(s, d):
 
 
 def _drained(s: SparkSession, d: str, build, mode: str) -> DataFrame:
-    """Runs a stream over the events file until nothing is left, into a table in the shared folder (append) or memory (update)."""
+    """Runs a stream over the events file until nothing is left, into a table in the shared folder."""
     import uuid
 
     from ..operators.components import shared_dir
+    from ..streaming import gates, sinks
 
     source = D.table(s, d, "events")
     raw = s.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     kind = F.when(F.col("event_type") == "view", "enter").when(F.col("event_type") == "click", "exit").otherwise("other")
     events = raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("agent_id"), F.get_json_object("props", "$.k").cast("long").alias("edge_id"), F.rint(F.col("value") * 100).cast("long").alias("tt_cs"), kind.alias("kind"))
     path = f"{shared_dir(s)}/tramline/stream-{uuid.uuid4().hex}"
-    out = build(events)
-
-    def keep(frame: DataFrame, batch: int) -> None:
-        frame.write.mode("append").parquet(f"{path}/out")
-
-    q = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.read.schema(out.schema).parquet(f"{path}/out")
+    name, store = gates.STORE
+    before = s.conf.get(name)
+    s.conf.set(name, store)
+    try:
+        out = build(events)
+        sinks.started(out, path, mode).awaitTermination()
+    finally:
+        s.conf.set(name, before)
+    return sinks.taken(s, path, out.schema)
 
 
 @query(D.with_("link_events") + ", x AS (SELECT edge_id, (t_s // 300) * 300 AS bin_s, tt_cs, max(ts) OVER () AS last FROM link_events WHERE kind = 'enter') SELECT edge_id, bin_s, count(*) AS n, sum(tt_cs)::BIGINT AS tt_sum FROM x GROUP BY edge_id, bin_s, last HAVING to_timestamp(bin_s + 300) AT TIME ZONE 'UTC' <= last - INTERVAL 10 MINUTE")
@@ -855,3 +857,16 @@ def stream_link_state(s, d):
     from ..streaming import links
 
     return _drained(s, d, links.occupancies, "update").select("edge_id", "occupancy", F.floor(F.col("mean_s") * 10000 + 0.5).alias("mean_bp"))
+
+
+@query(
+    D.with_("link_events", "net_edges") + ", x AS (SELECT l.edge_id AS edge_id, event_id, agent_id, epoch_us(ts) AS at_us, 3600000000000 // capacity AS gap, kind FROM link_events AS l JOIN net_edges AS e ON l.edge_id = e.edge_id WHERE kind = 'exit'), n AS (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY at_us, event_id) AS i FROM x)"
+    ", r AS (SELECT *, max(at_us - (i - 1) * gap) OVER (PARTITION BY edge_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + (i - 1) * gap AS ready FROM n), o AS (SELECT edge_id, event_id, agent_id, at_us, greatest(at_us, coalesce(ready - gap, at_us)) AS out_us FROM r)"
+    ", f AS (SELECT max(epoch_us(ts)) // 1000 - 3600000 AS until_ms FROM link_events JOIN net_edges ON link_events.edge_id = net_edges.edge_id WHERE kind IN ('enter', 'exit')) SELECT edge_id, event_id, agent_id, at_us::BIGINT AS at_us, out_us::BIGINT AS out_us FROM o, f WHERE out_us // 1000 <= until_ms"
+)
+def stream_link_gates(s, d):
+    """A permit to leave every thousand hours' worth of a link's capacity, two saved up at most."""
+    from ..streaming import gates
+
+    gap = written(D.net_edges(s, d).select("edge_id", F.expr("3600000000000 div capacity").alias("gap_us")), "gaps")
+    return _drained(s, d, lambda events: gates.released(events.join(gap, "edge_id")), "append").drop("occupancy")
