@@ -165,9 +165,15 @@ def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="tramline", description="Runs a scenario over a saved network and an OD file.")
     p.add_argument("--config", required=True)
     p.add_argument("--network", help="folder of a saved network; else the scenario's")
+    p.add_argument("--osm", help="an OpenStreetMap PBF file: its network is cleaned and saved in the network folder first")
     given = p.parse_args(args)
     scenario = Scenario.load(given.config)
     spark = SparkSession.builder.appName(f"tramline {scenario.name}").getOrCreate()
+    if given.osm:
+        from .sources import osm
+
+        nodes, edges, _ = osm.from_pbf(spark, given.osm)
+        tables.save_network(nodes, edges, given.network or scenario.network)
     nodes, edges = tables.network(spark, given.network or scenario.network)
     od = tables.od_csv(spark, scenario.demand.source)
     od = od.groupBy(*(c for c in od.columns if c != "count")).agg(F.sum("count").alias("count"))

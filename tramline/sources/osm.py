@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import haversine_m
 from ..functions.network import CLASS_DEFAULTS, edge_flags, has_access, lane_count, maxspeed_kmh, node_type, oneway, restriction_kind
+from ..operators.cleaning import Cleaning, build_network
 
 
 def way_segments(steps: DataFrame) -> DataFrame:
@@ -57,3 +58,14 @@ def turn_restrictions(relations: DataFrame) -> DataFrame:
     one = lambda role, kind: F.try_element_at(F.filter("members", lambda m: (m["role"] == role) & (m["type"] == kind)), F.lit(1))["ref"]
     x = relations.select(one("from", "way").alias("from_way"), one("to", "way").alias("to_way"), one("via", "node").alias("via_node"), restriction_kind(F.col("tags")["restriction"]).alias("kind"))
     return x.where("from_way IS NOT NULL AND to_way IS NOT NULL AND via_node IS NOT NULL AND kind IS NOT NULL")
+
+
+def from_pbf(spark: SparkSession, path: str, cleaning: Cleaning | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clean nodes and edges of a PBF file or a folder of them, and what cleaning did: from a download to a network in one call.
+
+    An element that several files have counts once.
+    """
+    from .pbf import tables
+
+    nodes, ways, _ = tables(spark, path)
+    return build_network(nodes.dropDuplicates(["id"]), ways.dropDuplicates(["id"]), class_table(spark), cleaning or Cleaning())
