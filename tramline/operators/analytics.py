@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import along
 from ..functions.traffic import bpr_time_s, congestion_index, density_veh_km, flow_veh_h, geh, los
 
 
@@ -142,6 +143,27 @@ def ticks(occupancies: DataFrame, every: int, until: int) -> DataFrame:
     return x.select("edge_id", F.explode(F.sequence("tick", F.col("next") - 1)).alias("tick"), "occupancy").withColumn("tick", F.col("tick") * every)
 
 
+def trajectories(passages: DataFrame, lines: DataFrame, every: int) -> DataFrame:
+    """(agent_id, t, edge_id, lon, lat): where each vehicle is at the ticks 0, every, 2 every, ... at which it is on an edge.
+
+    A tick belongs to the passage (agent_id, edge_id, enter, exit) that it falls in, from its enter to before its exit; the place lies along the
+    edge's line (edge_id, points) by the share of the passage's time. Each passage makes its own ticks, so no tick is joined with what does not hold it.
+    """
+    first = F.ceil(F.col("enter") / every) * every
+    x = passages.where(first < F.col("exit")).withColumn("t", F.explode(F.sequence(first.cast("long"), (F.col("exit") - 1).cast("long"), F.lit(every).cast("long"))))
+    place = along(F.col("points"), (F.col("t") - F.col("enter")) / (F.col("exit") - F.col("enter")))
+    return x.join(lines.select("edge_id", "points"), "edge_id").select("agent_id", "t", "edge_id", place.alias("p")).select("agent_id", "t", "edge_id", "p.lon", "p.lat")
+
+
+def activities(passages: DataFrame, edges: DataFrame, goal: str = "activity") -> DataFrame:
+    """(agent_id, kind, t, node_id): where and when each agent departs, and where and when it comes to its ``goal``."""
+    x = passages.join(edges.select("edge_id", "from_node", "to_node"), "edge_id").groupBy("agent_id").agg(
+        F.min(F.struct(F.col("enter").alias("t"), F.col("exit").alias("_e"), F.col("from_node").alias("node_id"))).alias("a"), F.max(F.struct(F.col("exit").alias("t"), F.col("enter").alias("_e"), F.col("to_node").alias("node_id"))).alias("b")
+    )
+    rows = F.array(F.struct(F.lit("depart").alias("kind"), "a.t", "a.node_id"), F.struct(F.lit(goal).alias("kind"), "b.t", "b.node_id"))
+    return x.select("agent_id", F.explode(rows).alias("r")).select("agent_id", "r.*")
+
+
 def gated(links: DataFrame, every: float) -> DataFrame:
     """Of an engine's link windows (window_s) the first at or behind each multiple of ``every``: what a writer of snapshots gets."""
     times = links.select("window_s").distinct()

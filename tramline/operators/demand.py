@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.calendar import is_holiday
 from ..functions.random import PRIME, hash_uniform
 from .numbering import repeated
 
@@ -44,11 +45,13 @@ def mean_day(trips: DataFrame, *keys: str, all_days: bool = False) -> DataFrame:
     return sums.crossJoin(F.broadcast(days)).withColumn("n_days", F.col("_days")).drop("_days")
 
 
-def weekend_split(trips: DataFrame, holidays: list[str] = ()) -> DataFrame:
-    """``trips`` with day_type: Saturdays, Sundays and holidays are weekend."""
+def weekend_split(trips: DataFrame, holidays: list[str] = (), country: str | None = None) -> DataFrame:
+    """``trips`` with day_type: Saturdays, Sundays and holidays are weekend; holidays are days of a list and those of a country."""
     free = F.weekday("day") >= 5
     if holidays:
         free = free | F.col("day").isin([F.to_date(F.lit(h)) for h in holidays])
+    if country:
+        free = free | is_holiday(F.col("day"), country)
     return trips.withColumn("day_type", F.when(free, "weekend").otherwise("weekday"))
 
 

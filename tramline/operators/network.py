@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,84 +95,67 @@ def reached(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame
     raise RuntimeError("no fixed point")
 
 
-#: Edges up to which strong components are found in one task.
-ONE_TASK_EDGES = 1_000_000
-
-
-def _strong(pairs: list[tuple[int, int]]) -> dict[int, int]:
-    """Node to the least node of its strong component: depth-first order, then search against the edges in reverse order."""
-    out: dict[int, list[int]] = {}
-    into: dict[int, list[int]] = {}
-    for a, b in pairs:
-        out.setdefault(a, []).append(b)
-        out.setdefault(b, [])
-        into.setdefault(b, []).append(a)
-    seen: set[int] = set()
-    order: list[int] = []
-    for root in sorted(out):
-        if root in seen:
-            continue
-        seen.add(root)
-        path = [(root, iter(out[root]))]
-        while path:
-            for v in path[-1][1]:
-                if v not in seen:
-                    seen.add(v)
-                    path.append((v, iter(out[v])))
-                    break
-            else:
-                order.append(path.pop()[0])
-    label: dict[int, int] = {}
-    for root in reversed(order):
-        if root in label:
-            continue
-        group, todo = [root], [root]
-        label[root] = root
-        while todo:
-            for v in into.get(todo.pop(), ()):
-                if v not in label:
-                    label[v] = root
-                    group.append(v)
-                    todo.append(v)
-        least = min(group)
-        for v in group:
-            label[v] = least
-    return label
-
-
-def largest_scc(edges: DataFrame, rounds: int = 100_000, one_task: int = ONE_TASK_EDGES) -> DataFrame:
-    """(node): the largest strongly connected component, the one with the least id of equals. Graphs of up to ``one_task`` edges,
-    which is checked, are searched in one task; larger ones forward and backward from pivots, on what may still hold a larger one,
-    without nodes that no cycle passes."""
-    if edges.count() <= one_task:
-
-        def search(frame: pd.DataFrame) -> pd.DataFrame:
-            label = pd.Series(_strong(list(zip(frame.from_node.tolist(), frame.to_node.tolist(), strict=True))), dtype="int64")
-            n = label.groupby(label).size()
-            return pd.DataFrame({"node": label.index[label == n[n == n.max()].index.min()]}) if len(n) else pd.DataFrame({"node": []}, dtype="int64")
-
-        return edges.select("from_node", "to_node").groupBy(F.lit("all")).applyInPandas(search, "node long")
-    left = written(edges.select("from_node", "to_node").where("from_node <> to_node"), "left")
-    best, size, least = None, 1, None
+def strong_components(edges: DataFrame, by: tuple[str, ...] = (), rounds: int = 100_000, hops: int = 6) -> DataFrame:
+    """(by, node, component): for each node of an edge the least node of its strong component. With ``by`` several networks are searched side by side.
+
+    Colouring (Orzan 2004): each node gets the greatest node that reaches it. A node that kept its own colour is the pivot of that
+    colour, and what reaches the pivot within its colour is its component. So every round settles a component for each colour, all
+    at once; settled nodes go, and the next round colours the rest. Colours and marks spread by joins, ``hops`` edges between two
+    looks at what is known; nodes without an edge in or out are settled before.
+    """
+    keys = list(by)
+    lefts, colours, inners, marks = (Steps(edges.sparkSession, held=n) for n in (2, 2, 1, 2))
+    ends = lambda e: e.select(*keys, F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
+    nodes = written(ends(edges), "nodes")
+    left = lefts.keep(edges.where("from_node <> to_node").select(*keys, "from_node", "to_node").distinct(), "left")
+    found: list[DataFrame] = []
     for _ in range(rounds):
-        n, before = left.count(), -1
-        while n != before:
-            ends = left.select(F.col("to_node").alias("from_node")).distinct(), left.select(F.col("from_node").alias("to_node")).distinct()
-            left, before = written(left.join(ends[0], "from_node", "left_semi").join(ends[1], "to_node", "left_semi"), "left"), n
-            n = left.count()
-        if n == 0 or left.select("from_node").distinct().count() < size:
+        into, out = left.select(*keys, F.col("to_node").alias("from_node")).distinct(), left.select(*keys, F.col("from_node").alias("to_node")).distinct()
+        left = lefts.keep(left.join(into, [*keys, "from_node"], "left_semi").join(out, [*keys, "to_node"], "left_semi"), "left")
+        if left.isEmpty():
             break
-        degrees = left.select(F.col("from_node").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(left.select(F.col("to_node").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))).groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
-        top = written(degrees.orderBy(F.desc(F.col("o") * F.col("i")), "node").limit(1).select("node"), "top")
-        forward, backward = reached(left, top), reached(left.select(F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node")), top)
-        scc = written(forward.join(backward, "node"), "scc")
-        n, first = scc.agg(F.count("*"), F.min("node")).first()
-        if n > size or n == size and best is not None and first < least:
-            best, size, least = scc, n, first
-        left = written(left.join(scc, left.from_node == scc.node, "left_anti").join(scc, left.to_node == scc.node, "left_anti"), "left")
+        step = left.withColumnRenamed("from_node", "node")
+        colour = front = colours.keep(ends(left).withColumn("colour", F.col("node")), "colour")
+        while not front.isEmpty():
+            gone, ahead = None, front
+            for _ in range(hops):
+                ahead = ahead.join(step, [*keys, "node"]).groupBy(*keys, "to_node").agg(F.max("colour").alias("colour")).withColumnRenamed("to_node", "node")
+                gone = ahead if gone is None else gone.unionByName(ahead)
+            new = gone.groupBy(*keys, "node").agg(F.max("colour").alias("new"))
+            both = colours.keep(colour.join(new, [*keys, "node"], "left").select(*keys, "node", F.greatest("colour", "new").alias("colour"), (F.col("new") > F.col("colour")).alias("better")), "colour")
+            colour, front = both.drop("better"), both.where("better").drop("better")
+        at = lambda c, n: colour.select(*keys, F.col("node").alias(c), F.col("colour").alias(n))
+        inner = left.join(at("from_node", "a"), [*keys, "from_node"]).join(at("to_node", "b"), [*keys, "to_node"]).where("a = b")
+        inner = inners.keep(inner.select(*keys, F.col("to_node").alias("node"), "from_node"), "inner")
+        # A mark keeps the colour it spreads: inner edges join nodes of one colour only.
+        seen = front = marks.keep(colour.where("node = colour"), "seen")
+        while not front.isEmpty():
+            gone, ahead = None, front
+            for _ in range(hops):
+                ahead = ahead.join(inner, [*keys, "node"]).select(*keys, F.col("from_node").alias("node"), "colour").distinct()
+                gone = ahead if gone is None else gone.unionByName(ahead)
+            both = gone.select(*keys, "node", "colour", F.lit(1).alias("n")).unionByName(seen.select(*keys, "node", "colour", F.lit(0).alias("n")))
+            both = marks.keep(both.groupBy(*keys, "node", "colour").agg((F.min("n") == 1).alias("new")), "seen")
+            seen, front = both.drop("new"), both.where("new").drop("new")
+        found.append(written(seen, "strong"))
+        gone = found[-1].select(*keys, "node")
+        left = lefts.keep(left.join(gone.withColumnRenamed("node", "from_node"), [*keys, "from_node"], "left_anti").join(gone.withColumnRenamed("node", "to_node"), [*keys, "to_node"], "left_anti"), "left")
     else:
-        raise RuntimeError(f"components left after {rounds} rounds")
-    return best if best is not None else edges.select(F.least("from_node", "to_node").alias("node")).orderBy("node").limit(1)
+        raise RuntimeError(f"edges left after {rounds} rounds")
+    parts = nodes.withColumn("colour", F.lit(None).cast("long"))
+    for x in found:
+        parts = parts.unionByName(x)
+    parts = parts.groupBy(*keys, "node").agg(F.coalesce(F.max("colour"), F.col("node")).alias("colour"))
+    least = parts.groupBy(*keys, "colour").agg(F.min("node").alias("component"))
+    return parts.join(least, [*keys, "colour"]).select(*keys, "node", "component")
+
+
+def largest_scc(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, node): the largest strong component, the one with the least id of equals."""
+    keys, parts = list(by), written(strong_components(edges, by), "parts")
+    sizes = parts.groupBy(*keys, "component").agg(F.count("*").alias("n"))
+    best = sizes.groupBy(*keys).agg(F.min_by("component", F.struct(-F.col("n"), "component")).alias("component"))
+    return parts.join(best.where("component IS NOT NULL"), [*keys, "component"], "left_semi").select(*keys, "node")
 
 
 def accessible_nodes(edges: DataFrame, mode: str) -> DataFrame:
@@ -188,12 +170,9 @@ def mode_pools(pools: DataFrame, edges: DataFrame, modes: tuple[str, ...]) -> Da
     """``pools`` (zone, node) for each mode (zone, node, mode): nodes in the largest strong component of what the mode may use."""
     from ..functions.network import accessible
 
-    out = None
-    for m in modes:
-        own = largest_scc(edges.where(accessible(F.col("road_class"), F.lit(m))))
-        part = pools.join(own, "node", "left_semi").withColumn("mode", F.lit(m))
-        out = part if out is None else out.unionByName(part)
-    return out
+    each = edges.withColumn("mode", F.explode(F.array(*map(F.lit, modes)))).where(accessible(F.col("road_class"), F.col("mode")))
+    own = largest_scc(each, ("mode",))
+    return pools.join(own, "node").select("zone", "node", "mode")
 
 
 def scc_coverage(edges: DataFrame, modes: tuple[str, ...]) -> DataFrame:

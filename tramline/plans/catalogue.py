@@ -230,9 +230,23 @@ def od_mean(s, d):
     return demand.mean_day(D.daily_trips(s, d), "origin", "dest", "period")
 
 
-@query(_OD + " SELECT CASE WHEN isodow(day) >= 6 OR day = DATE '1996-01-01' THEN 'weekend' ELSE 'weekday' END AS day_type, count(*) AS n, sum(trips)::BIGINT AS trips FROM daily_trips GROUP BY ALL")
+_EASTER = ", y AS (SELECT DISTINCT year(day)::BIGINT AS y FROM daily_trips), e1 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y), e2 AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM e1), e3 AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM e2), e4 AS (SELECT y, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS n FROM e3), easter AS (SELECT y, make_date(y, n // 31, n % 31 + 1) AS sunday FROM e4)"
+
+
+@query(_OD + _EASTER + " SELECT CASE WHEN isodow(day) >= 6 OR day = DATE '1996-01-02' OR strftime(day, '%m-%d') IN ('01-01','01-06','05-01','08-15','10-12','11-01','12-06','12-08','12-25') OR day = sunday - 2 THEN 'weekend' ELSE 'weekday' END AS day_type, count(*) AS n, sum(trips)::BIGINT AS trips FROM daily_trips JOIN easter ON year(day) = y GROUP BY ALL")
 def od_weekend_split(s, d):
-    return demand.weekend_split(D.daily_trips(s, d), ["1996-01-01"]).groupBy("day_type").agg(F.count("*").alias("n"), F.sum("trips").alias("trips"))
+    """The holidays of Spain in all years of the table, and a day of its own."""
+    return demand.weekend_split(D.daily_trips(s, d), ["1996-01-02"], "ES").groupBy("day_type").agg(F.count("*").alias("n"), F.sum("trips").alias("trips"))
+
+
+@query(_OD + _EASTER + ", h AS (SELECT day, sunday, unnest(['DE','FR','IT','PT']) AS country FROM daily_trips JOIN easter ON year(day) = y) SELECT country, count(*) AS n FROM h WHERE CASE country WHEN 'DE' THEN strftime(day, '%m-%d') IN ('01-01','05-01','10-03','12-25','12-26') OR day - sunday IN (-2, 1, 39, 50) WHEN 'FR' THEN strftime(day, '%m-%d') IN ('01-01','05-01','05-08','07-14','08-15','11-01','11-11','12-25') OR day - sunday IN (1, 39, 50) WHEN 'IT' THEN strftime(day, '%m-%d') IN ('01-01','01-06','04-25','05-01','06-02','08-15','11-01','12-08','12-25','12-26') OR day - sunday IN (0, 1) ELSE strftime(day, '%m-%d') IN ('01-01','04-25','05-01','06-10','08-15','10-05','11-01','12-01','12-08','12-25') OR day - sunday IN (-2, 0, 60) END GROUP BY ALL")
+def od_holidays(s, d):
+    """Trip records on holidays, by country."""
+    from ..functions.calendar import is_holiday
+
+    x = D.daily_trips(s, d).groupBy("day").agg(F.count("*").alias("n"))
+    free = F.array_compact(F.array(*(F.when(is_holiday(F.col("day"), c), F.lit(c)) for c in ("DE", "FR", "IT", "PT"))))
+    return x.select(F.explode(free).alias("country"), "n").groupBy("country").agg(F.sum("n").alias("n"))
 
 
 _SHARES = "shares AS (SELECT * FROM (VALUES ('0.5-2','car',5),('0.5-2','walk',70),('0.5-2','bike',5),('0.5-2','transit',20),('2-10','car',50),('2-10','walk',10),('2-10','bike',5),('2-10','transit',35),('10-50','car',80),('10-50','walk',1),('10-50','bike',1),('10-50','transit',18),('>50','car',90),('>50','walk',0),('>50','bike',0),('>50','transit',10)) AS v(band, mode, share))"
@@ -568,6 +582,21 @@ def trip_summary(s, d):
     return t.agg(F.count("*").alias("n"), F.sum("tt").alias("tt_sum"), F.max("tt").alias("tt_max"), F.sum((F.col("done") < 86400000).cast("int")).alias("n_within"))
 
 
+@query(_TRIPS + _CLOCK + ", k AS (SELECT agent_id, edge_id, enter, tt, unnest(range((enter + 9999) // 10000, (enter + tt - 1) // 10000 + 1)) * 10000 AS t FROM clock) SELECT agent_id, k.edge_id AS edge_id, t, floor((a.gx + (b.gx - a.gx) * ((t - enter) / tt::DOUBLE)) * 1000 + 0.3183098861::DOUBLE)::BIGINT AS x_milli, floor((a.gy + (b.gy - a.gy) * ((t - enter) / tt::DOUBLE)) * 1000 + 0.3183098861::DOUBLE)::BIGINT AS y_milli FROM k JOIN net_edges AS e ON k.edge_id = e.edge_id JOIN net_nodes AS a ON from_node = a.node_id JOIN net_nodes AS b ON to_node = b.node_id")
+def trip_trajectories(s, d):
+    """Places every ten seconds of every trip; grid units are taken as degrees."""
+    n, e = D.net_nodes(s, d), D.net_edges(s, d)
+    at = lambda p: n.select(F.col("node_id").alias(f"{p}_node"), F.struct(F.col("gx").cast("double").alias("lon"), F.col("gy").cast("double").alias("lat")).alias(p))
+    lines = e.join(at("from"), "from_node").join(at("to"), "to_node").select("edge_id", F.array("from", "to").alias("points"))
+    round_ = lambda c: F.floor(F.col(c) * 1000 + 0.3183098861)
+    return analytics.trajectories(analytics.trip_clock(_steps(s, d)), lines, 10_000).select("agent_id", "edge_id", "t", round_("lon").alias("x_milli"), round_("lat").alias("y_milli"))
+
+
+@query(_TRIPS + _CLOCK + ", x AS (SELECT agent_id, enter, enter + tt AS exit, from_node, to_node FROM clock JOIN net_edges AS e ON clock.edge_id = e.edge_id) SELECT agent_id, 'depart' AS kind, min(enter) AS t, arg_min(from_node, (enter, exit, from_node)) AS node_id FROM x GROUP BY agent_id UNION ALL SELECT agent_id, 'activity', max(exit), arg_max(to_node, (exit, enter, to_node)) FROM x GROUP BY agent_id")
+def trip_activities(s, d):
+    return analytics.activities(analytics.trip_clock(_steps(s, d)), D.net_edges(s, d))
+
+
 _OCC = ", ch AS (SELECT edge_id, t, sum(d) AS d FROM (SELECT edge_id, enter AS t, 1 AS d FROM clock UNION ALL SELECT edge_id, enter + tt, -1 FROM clock) AS u GROUP BY ALL), occ AS (SELECT edge_id, t, sum(d) OVER (PARTITION BY edge_id ORDER BY t)::BIGINT AS occupancy FROM ch)"
 
 

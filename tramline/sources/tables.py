@@ -14,8 +14,8 @@ TRIP_COLUMNS = {
     "period": ["periodo", "period", "hora", "hour"],
     "trips": ["viajes", "trips"],
     "band": ["distancia", "distance"],
-    "trip_km": ["viajes_km", "trips_km"],
-    "mode": ["modo", "mode"],
+    "trip_km": ["viajes_km", "trips_km", "km"],
+    "mode": ["modo", "mode", "medio"],
 }
 OPTIONAL = {"band", "trip_km", "mode"}
 
