@@ -560,6 +560,18 @@ def route_cache_dedupe(s, d):
     return x.agg(F.count("*").alias("n_requests"), F.countDistinct("origin", "dest", "bucket").alias("n_routed"))
 
 
+@query(
+    "WITH RECURSIVE q AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o_orderkey * 37 % 86400, o_orderkey) AS t, (o_custkey % n) * n + o_orderkey % n AS k FROM orders, (SELECT count(*) AS n FROM supplier) AS g), c AS (SELECT 0::BIGINT AS t, []::BIGINT[] AS held, 0::BIGINT AS hits, 0::BIGINT AS evictions UNION ALL SELECT q.t AS t, CASE WHEN list_contains(held, k) THEN held WHEN len(held) = 400 THEN list_append(held[2:], k) ELSE list_append(held, k) END AS held, hits + CASE WHEN list_contains(held, k) THEN 1 ELSE 0 END AS hits, evictions + CASE WHEN NOT list_contains(held, k) AND len(held) = 400 THEN 1 ELSE 0 END AS evictions FROM c JOIN q ON q.t = c.t + 1)"
+    " SELECT t AS n, hits, t - hits AS misses, evictions, len(held)::BIGINT AS entries FROM c ORDER BY t DESC LIMIT 1"
+)
+def route_cache_stats(s, d):
+    """Requests by departure against a cache of 400 pairs."""
+    from ..operators import cache
+
+    asked = _requests(s, d).withColumn("depart_s", F.col("agent_id") * 37 % 86400)
+    return cache.statistics(cache.outcomes(asked, ["depart_s", "agent_id"], ["origin", "dest"], 400), 400)
+
+
 # -- trips and links -------------------------------------------------------------------------------------------------------
 
 _TRIPS = D.with_("trips")
