@@ -215,6 +215,77 @@ def osm_way_segments(s, d):
     return way_segments(steps)
 
 
+_OSM = (
+    "WITH g AS (SELECT s_suppkey AS id, s_suppkey % w AS gx, s_suppkey // w AS gy FROM supplier, (SELECT ceil(sqrt(count(*)))::BIGINT AS w FROM supplier) AS x), steps AS (SELECT l_orderkey AS way, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey, l_suppkey) - 1 AS pos, l_suppkey AS node FROM lineitem)"
+    ", seg AS (SELECT way, pos, node AS a, nxt AS b FROM (SELECT *, lead(node) OVER (PARTITION BY way ORDER BY pos) AS nxt FROM steps) AS x WHERE nxt IS NOT NULL AND nxt <> node)"
+    ", w AS (SELECT *, 2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin(radians(q.gy * 0.001::DOUBLE - p.gy * 0.001::DOUBLE) / 2), 2) + cos(radians(p.gy * 0.001::DOUBLE)) * cos(radians(q.gy * 0.001::DOUBLE)) * pow(sin(radians(q.gx * 0.001::DOUBLE - p.gx * 0.001::DOUBLE) / 2), 2))) AS metres, (['motorway','residential','footway','bus_guideway','secondary','trunk','steps'])[1 + way % 7] AS highway FROM seg JOIN g AS p ON a = p.id JOIN g AS q ON b = q.id)"
+    ", kept AS (SELECT *, CASE way % 3 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS direction, CASE highway WHEN 'motorway' THEN 0 WHEN 'trunk' THEN 2 WHEN 'secondary' THEN 6 WHEN 'residential' THEN 10 WHEN 'footway' THEN 16 ELSE 18 END AS road_class, CASE WHEN way % 3 < 2 THEN 1 ELSE 0 END + CASE WHEN way % 4 = 0 THEN 8 ELSE 0 END + CASE WHEN way % 9 = 0 THEN 16 ELSE 0 END + CASE WHEN way % 11 = 0 THEN 32 ELSE 0 END AS flags FROM w WHERE highway <> 'bus_guideway' AND NOT (way % 5 = 0 AND way % 10 <> 0))"
+)
+
+
+@query(_OSM + " SELECT way AS way_id, pos, a AS from_node, b AS to_node, road_class, flags, floor(metres + 0.5)::BIGINT AS metres FROM kept WHERE direction >= 0 UNION ALL SELECT way, pos, b, a, road_class, flags + 64, floor(metres + 0.5)::BIGINT FROM kept WHERE direction <= 0")
+def osm_edges(s, d):
+    """Ways of line items over the suppliers' places: classes that are no roads, ways closed to cars (a permission outweighs), both directions, flags."""
+    from ..sources import osm
+
+    n = D.net_nodes(s, d).select(F.col("node_id").alias("id"), (F.col("gx") * 0.001).alias("lon"), (F.col("gy") * 0.001).alias("lat"))
+    k, tag = F.col("id"), lambda name, value: F.when(value.isNotNull(), F.struct(F.lit(name).alias("key"), value.alias("value")))
+    li = D.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.struct((F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("p"), F.col("l_suppkey").alias("node")).alias("x"))
+    ways = li.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["node"]).alias("nodes"))  # of one order
+    highway = F.array(*map(F.lit, ("motorway", "residential", "footway", "bus_guideway", "secondary", "trunk", "steps")))[(k % 7).cast("int")]
+    tags = [tag("highway", highway), tag("oneway", F.when(k % 3 == 0, "yes").when(k % 3 == 1, "-1")), tag("access", F.when(k % 5 == 0, "no")), tag("motor_vehicle", F.when(k % 10 == 0, "yes")), tag("bridge", F.when(k % 4 == 0, "yes")), tag("tunnel", F.when(k % 9 == 0, "yes")), tag("junction", F.when(k % 11 == 0, "roundabout"))]
+    ways = ways.withColumn("tags", F.map_from_entries(F.array_compact(F.array(*tags))))
+    e = osm.directed_edges(n, ways, osm.class_table(s))
+    return e.select("way_id", F.col("pos").cast("long").alias("pos"), "from_node", "to_node", "road_class", "flags", F.floor(F.col("length_m") + 0.5).alias("metres"))
+
+
+@query("SELECT CASE p_partkey % 6 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 5 ELSE 0 END AS kind, count(*) AS n FROM part GROUP BY ALL")
+def osm_junction_types(s, d):
+    from ..sources import osm
+
+    k = F.col("p_partkey")
+    highway = F.when(k % 6 == 1, "traffic_signals").when(k % 6 == 2, "stop").when(k % 6 == 3, "give_way").when(k % 6 == 4, "mini_roundabout").when(k % 6 == 5, "crossing")
+    n = D.table(s, d, "part").select(k.alias("id"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), F.create_map(F.lit("highway"), highway).alias("tags"))
+    return osm.junctions(n).groupBy(F.col("intersection_type").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("WITH r AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 5 AS t FROM orders) SELECT c AS from_way, c + 1 AS to_way, k AS via_node, CASE WHEN t = 1 THEN 'no' ELSE 'only' END AS kind FROM r WHERE t IN (1, 2) AND k % 7 <> 0")
+def osm_turn_restrictions(s, d):
+    """Relations whose restriction reads no_ or only_ and that name two ways and a node."""
+    from ..sources import osm
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    member = lambda kind, ref, role: F.struct(F.lit(kind).alias("type"), ref.alias("ref"), F.lit(role).alias("role"))
+    said = F.when(k % 5 == 1, "no_left_turn").when(k % 5 == 2, "only_straight_on").when(k % 5 == 3, "give_way")
+    via = F.when(k % 7 == 0, member("way", k, "via")).otherwise(member("node", k, "via"))
+    x = D.table(s, d, "orders").select(k.alias("id"), F.array(member("way", c, "from"), via, member("way", c + 1, "to")).alias("members"), F.create_map(F.lit("restriction"), said).alias("tags"))
+    return osm.turn_restrictions(x)
+
+
+@query(
+    D.with_("net_streets", recursive=True) + _TWO + ", elig AS (SELECT node FROM c WHERE ia = ob AND ib = oa), inner_ways AS (SELECT node AS u, near AS v FROM nb WHERE node IN (SELECT node FROM elig) AND near IN (SELECT node FROM elig)), chain AS (SELECT u, u AS v FROM inner_ways UNION SELECT r.u, w.v FROM chain AS r JOIN inner_ways AS w ON r.v = w.u)"
+    ", open_nodes AS (SELECT DISTINCT node FROM nb WHERE near NOT IN (SELECT node FROM elig)), rings AS (SELECT u, min(v) AS least FROM chain GROUP BY u HAVING count(*) FILTER (WHERE v IN (SELECT node FROM open_nodes)) = 0), gone AS (SELECT node FROM elig WHERE node NOT IN (SELECT least FROM rings))"
+    ", walk AS (SELECT edge_id, from_node, to_node, from_node AS prev, [from_node, to_node] AS line FROM net_streets WHERE from_node NOT IN (SELECT node FROM gone) UNION ALL SELECT w.edge_id, w.from_node, n.to_node, w.to_node, list_append(w.line, n.to_node) FROM walk AS w JOIN net_streets AS n ON w.to_node = n.from_node AND n.to_node <> w.prev WHERE w.to_node IN (SELECT node FROM gone))"
+    " SELECT edge_id, i - 1 AS pos, gx, gy FROM (SELECT edge_id, line, unnest(range(1, len(line) + 1)) AS i FROM walk WHERE to_node NOT IN (SELECT node FROM gone) AND from_node <> to_node) AS x JOIN net_nodes ON line[i] = node_id"
+)
+def net_chain_lines(s, d):
+    """Contracted chains keep the line of every edge they are made of, each point once."""
+    n, e = _streets(s, d)
+    at = lambda p: n.select(F.col("node_id").alias(f"{p}_node"), F.struct("lon", "lat").alias(f"{p}_point"))
+    e = e.join(at("from"), "from_node").join(at("to"), "to_node").withColumn("points", F.array("from_point", "to_point")).drop("from_point", "to_point")
+    x = network.contracted(e, n).select("edge_id", F.posexplode("points").alias("pos", "p"))
+    return x.select("edge_id", F.col("pos").cast("long").alias("pos"), F.rint(F.col("p.lon") * 1000).cast("long").alias("gx"), F.rint(F.col("p.lat") * 1000).cast("long").alias("gy"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'car' WHEN 1 THEN 'transit' WHEN 2 THEN 'bike' WHEN 3 THEN 'walk' ELSE 'car' END AS mode, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug, lpad((c_custkey * 977 % 90000 // 3600)::VARCHAR, 2, '0') || ':' || lpad((c_custkey * 977 % 90000 // 60 % 60)::VARCHAR, 2, '0') AS label, (c_custkey * 977 % 86400)::BIGINT AS seconds FROM customer")
+def text_values(s, d):
+    """Modes in any case, names as parts of paths, times of day written and read."""
+    k = F.col("c_custkey")
+    name = F.array(*map(F.lit, ("CAR", "Transit", "bike", "WALK", "tram", "", "Cars")))[(k % 7).cast("int")]
+    clock = F.when(k % 2 == 0, (k * 977 % 86400).cast("string")).otherwise(F.date_format(F.timestamp_seconds(k * 977 % 86400), "yyyy-MM-dd HH:mm:ss"))
+    return D.table(s, d, "customer").select("c_custkey", fn.mode_of(name).alias("mode"), ft.slug(F.col("c_name")).alias("slug"), ft.clock_label(k * 977 % 90000).alias("label"), ft.clock_seconds(clock).cast("long").alias("seconds"))
+
+
 # -- demand ----------------------------------------------------------------------------------------------------------------
 
 _OD = D.with_("daily_trips")
@@ -630,6 +701,14 @@ def bpr_travel_time(s, d):
     return _snapshot(s, d).select("edge_id", milli(F.col("travel_time_s")).alias("travel_ms"))
 
 
+@query(_TRIPS + _CLOCK + _OCC + _STATE + " SELECT edge_id, floor((tt + edge_id % 90) * 1000 + 0.5)::BIGINT AS gated_ms, floor((tt + edge_id % 90) / ff * 1000 + 0.5)::BIGINT AS ratio_milli FROM tt")
+def gated_travel_time(s, d):
+    """Travel times with a wait at the edge's gate, and their ratio to free flow."""
+    x = _snapshot(s, d)
+    t = ft.gated_time_s(F.col("occupancy"), F.col("length_m"), F.col("capacity"), F.col("free_flow_s"), F.col("edge_id") % 90)
+    return x.select("edge_id", milli(t).alias("gated_ms"), milli(ft.tt_ratio(t, F.col("free_flow_s"))).alias("ratio_milli"))
+
+
 @query(_TRIPS + _CLOCK + _OCC + _STATE + " SELECT edge_id, occupancy::BIGINT AS occupancy, floor(greatest(0, least((tt / ff - 1) / 2.4::DOUBLE, 1)) * 1000 + 0.5)::BIGINT AS congestion_milli, floor(length_m / tt * 1000 + 0.5)::BIGINT AS speed_milli, floor(least(occupancy * 3600 / tt, capacity) * 1000 + 0.5)::BIGINT AS flow_milli, floor(occupancy / (length_m / 1000::DOUBLE) * 1000 + 0.5)::BIGINT AS density_milli FROM tt")
 def link_snapshot(s, d):
     return _snapshot(s, d).select("edge_id", "occupancy", milli(F.col("congestion")).alias("congestion_milli"), milli(F.col("speed_now_ms")).alias("speed_milli"), milli(F.col("flow_veh_h")).alias("flow_milli"), milli(F.col("density_veh_km")).alias("density_milli"))
@@ -776,6 +855,20 @@ def stuck_by_reroutes(s, d):
     return analytics.capped_histogram(x.where("last <> 'arrive'"), "r")
 
 
+@query(D.with_("link_events", "net_edges") + ", a AS (SELECT agent_id, sum(CASE WHEN kind = 'reroute' THEN 1 ELSE 0 END)::BIGINT AS r FROM link_events GROUP BY agent_id) SELECT road_class, least(r, 31) AS reroutes, count(*) AS n FROM link_events AS l JOIN a ON l.agent_id = a.agent_id LEFT JOIN net_edges AS e ON l.edge_id = e.edge_id WHERE kind = 'arrive' GROUP BY ALL")
+def teleport_histogram(s, d):
+    """By road class and by reroutes; arrivals stand for teleports."""
+    x = D.link_events(s, d).withColumn("run", F.lit(0))
+    agents = x.groupBy("run", "agent_id").agg(F.count_if(F.expr("kind = 'reroute'")).alias("reroutes"))
+    log = x.where("kind = 'arrive'").select("run", "agent_id", "edge_id", F.lit("teleport").alias("kind"))
+    return analytics.teleports(log, agents, D.net_edges(s, d))
+
+
+@query(_STUCK + " SELECT sum(CASE WHEN depart > 43200000 OR finish > 43200000 THEN 1 ELSE 0 END)::BIGINT AS n_active FROM now")
+def active_agents(s, d):
+    return analytics.active_agents(_now(s, d).select(F.when(F.col("depart") > 43_200_000, "waiting").when(F.col("finish") > 43_200_000, "on_link").otherwise("arrived").alias("state")))
+
+
 @query(_STUCK + ", n AS (SELECT road_class, count(*) AS n FROM stuck JOIN net_edges ON stuck.edge_id = net_edges.edge_id GROUP BY ALL) SELECT road_class, n, floor(n / (SELECT sum(n)::BIGINT FROM n) * 1000000 + 0.5)::BIGINT AS share_ppm FROM n")
 def stuck_shares(s, d):
     return analytics.shares(stuck_by_class(s, d)).select("road_class", "n", F.floor(F.col("share") * 1_000_000 + 0.5).alias("share_ppm"))
