@@ -4,8 +4,8 @@ With one more component, sqrt(M^2 - |x|^2), all vectors have the length M, and t
 A Gaussian (2-stable) projection to m dimensions makes of a squared distance d^2 the random d^2 chi^2(m). One kd-tree lies over all
 projected vectors: its top, split on a sample of ``SAMPLE`` rows at most, deals every vector to a block of about ``block_rows``; each
 block carries the tree on to leaves. A query first searches the block that its own projection falls into, then those blocks that the
-test does not rule out. In a block it takes leaves in the order of their boxes' distance and verifies all their vectors with exact
-inner products. It stops as soon as a vector as near as its k-th best would lie within the next box's distance with
+test does not rule out. In a block it takes leaves in the order of their boxes' distance, one, two, four and so on at a time, and verifies all their vectors
+with exact inner products. It stops as soon as a vector as near as its k-th best would lie within the next box's distance with
 probability ``sure``; a block is left out by the same test. Every vector is in an index; only projections approximate.
 
 Of equal vectors k + 1 rows, those of the least ids, are enough for any answer, and equal queries are searched once, so copies of
@@ -129,6 +129,7 @@ class Index:
         self.low = np.stack([points[x].min(axis=0) for x in leaves])
         self.high = np.stack([points[x].max(axis=0) for x in leaves])
         self.longest = float(np.sqrt((vectors**2).sum(axis=1).max()))
+        self.read = 0  # pairs of a query and a vector that were verified
 
     def search(self, queries: np.ndarray, k: int, sure: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each query (ids, rows, scores) of its nearest here, k at most."""
@@ -137,8 +138,7 @@ class Index:
         order = np.argsort(gap, axis=1, kind="stable")
         sorted_gap = np.take_along_axis(gap, order, axis=1)
         scores = np.full((len(q), len(self.ids)), -np.inf)
-        alive, at, leaves = np.arange(len(q)), 0, len(self.low)
-        step = max(1, leaves // 6)
+        alive, at, leaves, step = np.arange(len(q)), 0, len(self.low), 1
         length = (queries**2).sum(axis=1)
         while len(alive) and at < leaves:
             wanted = np.zeros((len(q), leaves), bool)
@@ -147,7 +147,8 @@ class Index:
                 rows = alive[wanted[: len(alive), leaf]]
                 a, b = self.edges[leaf], self.edges[leaf + 1]
                 scores[rows, a:b] = queries[rows] @ self.vectors[a:b].T
-            at += step
+                self.read += len(rows) * int(b - a)
+            at, step = at + step, 2 * step
             if at >= leaves:
                 break
             if scores.shape[1] >= k:
