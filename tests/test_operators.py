@@ -364,3 +364,12 @@ def test_gated_snapshots_and_teleports(spark):
     agents = spark.createDataFrame([(0, 1, 40), (0, 2, 1)], "run long, agent_id long, reroutes long")
     e = spark.createDataFrame([(7, 3)], "edge_id long, road_class int")
     assert rows(analytics.teleports(log, agents, e), "road_class", "reroutes", "n") == [(3, 31, 1)]
+
+
+def test_lines_that_miss_their_nodes(spark):
+    place = lambda *p: [{"lon": float(x), "lat": float(y)} for x, y in p]
+    n = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 1.0)], "node_id long, lon double, lat double")
+    rows_ = [(0, 0, 1, place((0, 0), (1, 1))), (1, 1, 0, place((1, 1), (0.5, 0), (0, 0.1))), (2, 0, 1, place((0, 0))), (3, 0, 1, None), (4, 1, 0, place((1, 1.0000001), (0, 0)))]
+    e = spark.createDataFrame(rows_, "edge_id long, from_node long, to_node long, points array<struct<lon:double,lat:double>>")
+    got = dict(rows(network.violations(e, n), "check", "n"))
+    assert got["short_geometry"] == 2 and got["torn_geometry"] == 1 and got["unknown_to"] == 0

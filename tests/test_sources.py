@@ -96,6 +96,9 @@ def test_scenario_writes_snapshots_as_geojson(spark, tmp_path):
     assert times == {90.0, 300.0, 600.0, 900.0, 1200.0}  # of each 300 s the first window in which a link is in use
     one = lines[0]
     assert len(one["properties"]) == 13 and one["geometry"]["type"] == "LineString" and len(one["geometry"]["coordinates"]) == 2
+    path = str(tmp_path / "out" / "2024-01-01_00-00_24-00")
+    got = {r["edge_id"]: (r["time_s"], r["congestion"], len(r["points"])) for r in snapshots.congestion_map(spark, path, 500.0).collect()}
+    assert got == {x["properties"]["edge_id"]: (600.0, x["properties"]["congestion"], 2) for x in lines if x["properties"]["time_s"] == 600.0}
     for bad in ({"output": {"format": "pdf"}}, {"routing": {"algorithm": "magic"}}, {"traffic": {"model": "magic"}}, {"output": {"snapshot_interval_s": 0}}):
         with pytest.raises(ValueError):
             Scenario.from_dict(bad)

@@ -212,6 +212,11 @@ def violations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ]
     if "points" in edges.columns:
         parts.append(("short_geometry", edges.where("points IS NULL OR size(points) < 2")))
+        if "lon" in nodes.columns:  # a line begins and ends where its edge's nodes are
+            at = lambda c: nodes.select(F.col("node_id").alias(f"{c}_node"), F.col("lon").alias(f"_{c}_lon"), F.col("lat").alias(f"_{c}_lat"))
+            off = lambda i, c: (F.abs(F.element_at("points", i)["lon"] - F.col(f"_{c}_lon")) > 1e-6) | (F.abs(F.element_at("points", i)["lat"] - F.col(f"_{c}_lat")) > 1e-6)
+            placed = edges.where("size(points) >= 2").join(at("from"), "from_node").join(at("to"), "to_node")
+            parts.append(("torn_geometry", placed.where(off(1, "from") | off(-1, "to"))))
     out = None
     for name, bad in parts:
         row = bad.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")

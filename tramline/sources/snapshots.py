@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,11 @@ def box(pieces: DataFrame, margin: float = 0.008) -> DataFrame:
     """One row: the box of segments with a margin."""
     low, high = (lambda c: F.least(F.min(f"{c}1"), F.min(f"{c}2")) - margin), (lambda c: F.greatest(F.max(f"{c}1"), F.max(f"{c}2")) + margin)
     return pieces.agg(low("lon").alias("west"), low("lat").alias("south"), high("lon").alias("east"), high("lat").alias("north"))
+
+
+def congestion_map(spark: SparkSession, path: str, time_s: float) -> DataFrame:
+    """(time_s, edge_id, congestion, travel_time_s, points) of the snapshot nearest to ``time_s`` in what a scenario wrote as GeoJSON: congestion by edge, with its line."""
+    feature = "struct<properties:struct<time_s:double,edge_id:long,congestion:double,travel_time_s:double>,geometry:struct<coordinates:array<array<double>>>>"
+    x = spark.read.text(path).select(F.from_json("value", feature).alias("f")).where("f.properties.time_s IS NOT NULL")
+    line = F.transform("f.geometry.coordinates", lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
+    return nearest(x.select("f.properties.*", line.alias("points")), spark.createDataFrame([(float(time_s),)], "at double"))
