@@ -104,6 +104,17 @@ def test_scenario_writes_snapshots_as_geojson(spark, tmp_path):
             Scenario.from_dict(bad)
 
 
+def test_scenario_routes_over_a_saved_hierarchy(spark, tmp_path):
+    n, e, od = _town(spark)
+    runs = []
+    for settings in ({}, {"algorithm": "hierarchy"}, *[{"algorithm": "hierarchy", "index": f"file://{tmp_path}/index"}] * 2):
+        done = Scenario.from_dict({"routing": settings}).run(e, od, "agents").select("agent_id", "state", "end_s")
+        runs.append(sorted(tuple(r) for r in done.collect()))
+    assert runs[0] == runs[1] == runs[2] == runs[3] and runs[0]
+    with pytest.raises(ValueError, match="another network"):
+        Scenario.from_dict({"routing": settings}).run(e.withColumn("length_m", F.col("length_m") * 2), od, "agents")
+
+
 def test_agents_of_many_od_rows_stay_apart(spark):
     n, e, od = _town(spark)
     got = Scenario().run(e, od, "agents").collect()

@@ -7,10 +7,11 @@ import json
 from dataclasses import asdict, dataclass, field, fields
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import analytics, demand, engine, routing
+from .operators import analytics, demand, engine, hierarchy, routing
 from .operators.numbering import dense_ids
 from .sources import tables
 
@@ -54,6 +55,7 @@ class Traffic:
 class Routing:
     algorithm: str = "dijkstra"
     sigma: float = 0.0
+    index: str = ""
 
 
 @dataclass
@@ -113,7 +115,7 @@ class Scenario:
             return "demand_scale must be between 0 and 1"
         if self.traffic.model not in engine.MODELS:
             return f"unknown traffic model {self.traffic.model!r}"
-        if self.routing.algorithm not in ("dijkstra", "stochastic"):
+        if self.routing.algorithm not in ("dijkstra", "stochastic", "hierarchy"):
             return f"unknown routing algorithm {self.routing.algorithm!r}"
         if self.output.format not in tables.FORMATS:
             return f"unknown output format {self.output.format!r}"
@@ -133,15 +135,30 @@ class Scenario:
     def run(self, edges: DataFrame, od: DataFrame, table: str = "events") -> DataFrame:
         """Routes the demand over free-flow times and simulates it. od: (od_id, origin_node, dest_node, count, mode, depart_start_s, depart_end_s).
 
-        With the algorithm "stochastic" and a sigma, agents get routes of their own, the plain one where that is a detour.
+        With the algorithm "stochastic" and a sigma, agents get routes of their own. With "hierarchy" they are found over a contraction
+        hierarchy: that in the folder ``index``, which is made and saved there if there is none; one of another network is an error.
         """
         kept = demand.thinned(demand.od_window(od, self.simulation.start_time, self.simulation.end_time, self.demand.modes), self.demand.demand_scale, self.simulation.seed)
         trips = demand.agents(kept, self.simulation.seed, self.simulation.start_time)
         trips = dense_ids(trips.withColumns({"origin": F.col("origin_node"), "dest": F.col("dest_node")}), "agent_id", "od_id", "i")
         timed = edges.withColumn("cost", F.col("length_m") / F.col("speed_ms"))
-        found = routing.routes(trips.select("agent_id", "mode", "depart_s", "origin", "dest"), timed, "cost", self.routing.sigma if self.routing.algorithm == "stochastic" else 0.0)
+        trips = trips.select("agent_id", "mode", "depart_s", "origin", "dest")
+        if self.routing.algorithm == "hierarchy":
+            found = hierarchy.routes(self._index(timed), trips)
+        else:
+            found = routing.routes(trips, timed, "cost", self.routing.sigma if self.routing.algorithm == "stochastic" else 0.0)
         return engine.sweep(found.withColumn("run", F.lit(0).cast("long")).drop("cost"), edges, self.options(), table)
 
+    def _index(self, timed: DataFrame) -> hierarchy.Hierarchy:
+        path = self.routing.index
+        if not path:
+            return hierarchy.contracted(timed)
+        try:
+            return hierarchy.loaded(timed, path)
+        except AnalysisException:  # nothing there yet
+            hierarchy.saved(hierarchy.contracted(timed), path)
+            return hierarchy.loaded(timed, path)
+
     def snapshots(self, nodes: DataFrame, edges: DataFrame, od: DataFrame) -> DataFrame:
         """Occupied links at each ``snapshot_interval_s`` of a run, with travel time, congestion, speed, flow, density and geometry."""
         links = analytics.gated(self.run(edges, od, "links"), self.output.snapshot_interval_s)
