@@ -373,3 +373,17 @@ def test_lines_that_miss_their_nodes(spark):
     e = spark.createDataFrame(rows_, "edge_id long, from_node long, to_node long, points array<struct<lon:double,lat:double>>")
     got = dict(rows(network.violations(e, n), "check", "n"))
     assert got["short_geometry"] == 2 and got["torn_geometry"] == 1 and got["unknown_to"] == 0
+
+
+def test_strong_components_draw_streets_together_first(spark):
+    """On a grid of two-way streets nothing is left to colour; a ring of three such streets, one way each, is."""
+    links = lambda pairs: spark.createDataFrame(pairs, "from_node long, to_node long")
+    grid = [(x * 6 + y, x2 * 6 + y2) for x in range(6) for y in range(6) for x2, y2 in ((x + 1, y), (x, y + 1)) if x2 < 6 and y2 < 6]
+    of, left = network.drawn_together(links(grid + [(b, a) for a, b in grid]))
+    assert left.isEmpty() and {r["part"] for r in of.collect()} == {0}
+    street = [(a, b) for k in (0, 10, 20) for x in range(k, k + 4) for a, b in ((x, x + 1), (x + 1, x))]
+    ring = [*street, (4, 10), (14, 20), (24, 0), (24, 30), (31, 0)]
+    of, left = network.drawn_together(links(ring))
+    assert {(r["from_node"], r["to_node"]) for r in left.collect()} == {(0, 10), (10, 20), (20, 0)}
+    got = dict(rows(network.strong_components(links(ring)), "node", "component"))
+    assert {n for n, c in got.items() if c == 0} == {*range(5), *range(10, 15), *range(20, 25)} and got[30] == 30 and got[31] == 31

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import Steps, connected_components, written
+from .components import Steps, connected_components, shuffled, written
 
 
 def without_loops(edges: DataFrame) -> DataFrame:
@@ -95,10 +95,39 @@ def reached(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame
     raise RuntimeError("no fixed point")
 
 
+def drawn_together(edges: DataFrame, by: tuple[str, ...] = (), rounds: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """((by, node, part), (by, from_node, to_node)): nodes drawn together as long as edges join two parts both ways, and the edges that are left between parts.
+
+    A part is named by its least node and lies in one strong component. A chain of such pairs is one round, whatever its length;
+    parts without an edge in or out lose their edges.
+    """
+    keys = list(by)
+    lefts, ofs = Steps(edges.sparkSession), Steps(edges.sparkSession)
+    ends = edges.select(*keys, F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
+    of = ofs.keep(ends.withColumn("part", F.col("node")), "parts")
+    left = lefts.keep(edges.where("from_node <> to_node").select(*keys, "from_node", "to_node").distinct(), "left")
+    for _ in range(rounds):
+        back = left.where("from_node > to_node").select(*keys, F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"))
+        pairs = written(left.where("from_node < to_node").join(shuffled(back), [*keys, "from_node", "to_node"], "left_semi"), "pairs")
+        if pairs.isEmpty():
+            return of, left
+        one = written(connected_components(pairs, "from_node", "to_node", by=by), "one")
+        at = lambda c: shuffled(one.select(*keys, F.col("node").alias(c), F.col("component").alias(f"_{c}")))
+        named = lambda c: F.coalesce(f"_{c}", c).alias(c)
+        of = ofs.keep(of.join(at("part"), [*keys, "part"], "left").select(*keys, "node", named("part")), "parts")
+        left = left.join(at("from_node"), [*keys, "from_node"], "left").join(at("to_node"), [*keys, "to_node"], "left").select(*keys, named("from_node"), named("to_node"))
+        left = lefts.keep(left.where("from_node <> to_node").distinct(), "left")
+        into, out = left.select(*keys, F.col("to_node").alias("from_node")).distinct(), left.select(*keys, F.col("from_node").alias("to_node")).distinct()
+        left = lefts.keep(left.join(shuffled(into), [*keys, "from_node"], "left_semi").join(shuffled(out), [*keys, "to_node"], "left_semi"), "left")
+    raise RuntimeError(f"pairs left after {rounds} rounds")
+
+
 def strong_components(edges: DataFrame, by: tuple[str, ...] = (), rounds: int = 100_000, hops: int = 6) -> DataFrame:
     """(by, node, component): for each node of an edge the least node of its strong component. With ``by`` several networks are searched side by side.
 
-    Colouring (Orzan 2004): each node gets the greatest node that reaches it. A node that kept its own colour is the pivot of that
+    First what edges join both ways is drawn together (``drawn_together``), round by round, until no two parts have edges both
+    ways; on street networks little is left. The rest is coloured (Orzan 2004): each node gets the greatest node that reaches it.
+    A node that kept its own colour is the pivot of that
     colour, and what reaches the pivot within its colour is its component. So every round settles a component for each colour, all
     at once; settled nodes go, and the next round colours the rest. Colours and marks spread by joins, ``hops`` edges between two
     looks at what is known; nodes without an edge in or out are settled before.
@@ -106,12 +135,12 @@ def strong_components(edges: DataFrame, by: tuple[str, ...] = (), rounds: int =
     keys = list(by)
     lefts, colours, inners, marks = (Steps(edges.sparkSession, held=n) for n in (2, 2, 1, 2))
     ends = lambda e: e.select(*keys, F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
-    nodes = written(ends(edges), "nodes")
-    left = lefts.keep(edges.where("from_node <> to_node").select(*keys, "from_node", "to_node").distinct(), "left")
+    of, left = drawn_together(edges, by, rounds)
+    left = lefts.keep(left, "left")
     found: list[DataFrame] = []
     for _ in range(rounds):
         into, out = left.select(*keys, F.col("to_node").alias("from_node")).distinct(), left.select(*keys, F.col("from_node").alias("to_node")).distinct()
-        left = lefts.keep(left.join(into, [*keys, "from_node"], "left_semi").join(out, [*keys, "to_node"], "left_semi"), "left")
+        left = lefts.keep(left.join(shuffled(into), [*keys, "from_node"], "left_semi").join(shuffled(out), [*keys, "to_node"], "left_semi"), "left")
         if left.isEmpty():
             break
         step = left.withColumnRenamed("from_node", "node")
@@ -119,35 +148,36 @@ def strong_components(edges: DataFrame, by: tuple[str, ...] = (), rounds: int =
         while not front.isEmpty():
             gone, ahead = None, front
             for _ in range(hops):
-                ahead = ahead.join(step, [*keys, "node"]).groupBy(*keys, "to_node").agg(F.max("colour").alias("colour")).withColumnRenamed("to_node", "node")
+                ahead = ahead.join(shuffled(step), [*keys, "node"]).groupBy(*keys, "to_node").agg(F.max("colour").alias("colour")).withColumnRenamed("to_node", "node")
                 gone = ahead if gone is None else gone.unionByName(ahead)
             new = gone.groupBy(*keys, "node").agg(F.max("colour").alias("new"))
-            both = colours.keep(colour.join(new, [*keys, "node"], "left").select(*keys, "node", F.greatest("colour", "new").alias("colour"), (F.col("new") > F.col("colour")).alias("better")), "colour")
+            both = colours.keep(colour.join(shuffled(new), [*keys, "node"], "left").select(*keys, "node", F.greatest("colour", "new").alias("colour"), (F.col("new") > F.col("colour")).alias("better")), "colour")
             colour, front = both.drop("better"), both.where("better").drop("better")
         at = lambda c, n: colour.select(*keys, F.col("node").alias(c), F.col("colour").alias(n))
-        inner = left.join(at("from_node", "a"), [*keys, "from_node"]).join(at("to_node", "b"), [*keys, "to_node"]).where("a = b")
+        inner = left.join(shuffled(at("from_node", "a")), [*keys, "from_node"]).join(shuffled(at("to_node", "b")), [*keys, "to_node"]).where("a = b")
         inner = inners.keep(inner.select(*keys, F.col("to_node").alias("node"), "from_node"), "inner")
         # A mark keeps the colour it spreads: inner edges join nodes of one colour only.
         seen = front = marks.keep(colour.where("node = colour"), "seen")
         while not front.isEmpty():
             gone, ahead = None, front
             for _ in range(hops):
-                ahead = ahead.join(inner, [*keys, "node"]).select(*keys, F.col("from_node").alias("node"), "colour").distinct()
+                ahead = ahead.join(shuffled(inner), [*keys, "node"]).select(*keys, F.col("from_node").alias("node"), "colour").distinct()
                 gone = ahead if gone is None else gone.unionByName(ahead)
             both = gone.select(*keys, "node", "colour", F.lit(1).alias("n")).unionByName(seen.select(*keys, "node", "colour", F.lit(0).alias("n")))
             both = marks.keep(both.groupBy(*keys, "node", "colour").agg((F.min("n") == 1).alias("new")), "seen")
             seen, front = both.drop("new"), both.where("new").drop("new")
         found.append(written(seen, "strong"))
         gone = found[-1].select(*keys, "node")
-        left = lefts.keep(left.join(gone.withColumnRenamed("node", "from_node"), [*keys, "from_node"], "left_anti").join(gone.withColumnRenamed("node", "to_node"), [*keys, "to_node"], "left_anti"), "left")
+        left = lefts.keep(left.join(shuffled(gone.withColumnRenamed("node", "from_node")), [*keys, "from_node"], "left_anti").join(shuffled(gone.withColumnRenamed("node", "to_node")), [*keys, "to_node"], "left_anti"), "left")
     else:
         raise RuntimeError(f"edges left after {rounds} rounds")
-    parts = nodes.withColumn("colour", F.lit(None).cast("long"))
+    parts = of.select(*keys, F.col("part").alias("node")).distinct().withColumn("colour", F.lit(None).cast("long"))
     for x in found:
         parts = parts.unionByName(x)
     parts = parts.groupBy(*keys, "node").agg(F.coalesce(F.max("colour"), F.col("node")).alias("colour"))
     least = parts.groupBy(*keys, "colour").agg(F.min("node").alias("component"))
-    return parts.join(least, [*keys, "colour"]).select(*keys, "node", "component")
+    parts = parts.join(shuffled(least), [*keys, "colour"]).select(*keys, F.col("node").alias("part"), "component")
+    return of.join(shuffled(parts), [*keys, "part"]).select(*keys, "node", "component")
 
 
 def largest_scc(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -155,7 +185,7 @@ def largest_scc(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     keys, parts = list(by), written(strong_components(edges, by), "parts")
     sizes = parts.groupBy(*keys, "component").agg(F.count("*").alias("n"))
     best = sizes.groupBy(*keys).agg(F.min_by("component", F.struct(-F.col("n"), "component")).alias("component"))
-    return parts.join(best.where("component IS NOT NULL"), [*keys, "component"], "left_semi").select(*keys, "node")
+    return parts.join(shuffled(best.where("component IS NOT NULL")), [*keys, "component"], "left_semi").select(*keys, "node")
 
 
 def accessible_nodes(edges: DataFrame, mode: str) -> DataFrame:
@@ -172,7 +202,7 @@ def mode_pools(pools: DataFrame, edges: DataFrame, modes: tuple[str, ...]) -> Da
 
     each = edges.withColumn("mode", F.explode(F.array(*map(F.lit, modes)))).where(accessible(F.col("road_class"), F.col("mode")))
     own = largest_scc(each, ("mode",))
-    return pools.join(own, "node").select("zone", "node", "mode")
+    return pools.join(shuffled(own), "node").select("zone", "node", "mode")
 
 
 def scc_coverage(edges: DataFrame, modes: tuple[str, ...]) -> DataFrame:
