@@ -387,3 +387,12 @@ def test_strong_components_draw_streets_together_first(spark):
     assert {(r["from_node"], r["to_node"]) for r in left.collect()} == {(0, 10), (10, 20), (20, 0)}
     got = dict(rows(network.strong_components(links(ring)), "node", "component"))
     assert {n for n, c in got.items() if c == 0} == {*range(5), *range(10, 15), *range(20, 25)} and got[30] == 30 and got[31] == 31
+
+
+def test_repeated_rows_are_made_in_chunks_over_tasks(spark):
+    from tramline.operators import numbering
+
+    x = numbering.repeated(spark.createDataFrame([(1, 25_000), (2, 3), (3, 0), (4, 10_000)], "k long, n long"), "n", "i")
+    got = x.groupBy("k").agg(F.count("*"), F.countDistinct("i"), F.min("i"), F.max("i"))
+    assert sorted(map(tuple, got.collect())) == [(1, 25_000, 25_000, 0, 24_999), (2, 3, 3, 0, 2), (4, 10_000, 10_000, 0, 9_999)]
+    assert x.groupBy(F.spark_partition_id()).count().count() > 1 and x.schema["i"].dataType.simpleString() == "int"
