@@ -396,3 +396,14 @@ def test_repeated_rows_are_made_in_chunks_over_tasks(spark):
     got = x.groupBy("k").agg(F.count("*"), F.countDistinct("i"), F.min("i"), F.max("i"))
     assert sorted(map(tuple, got.collect())) == [(1, 25_000, 25_000, 0, 24_999), (2, 3, 3, 0, 2), (4, 10_000, 10_000, 0, 9_999)]
     assert x.groupBy(F.spark_partition_id()).count().count() > 1 and x.schema["i"].dataType.simpleString() == "int"
+
+
+def test_cleaning_searches_components_once(spark, monkeypatch):
+    e = spark.createDataFrame([(i, i % 7, (i + 1) % 7, 100.0, 10.0, 5) for i in range(14)] + [(20, 8, 9, 100.0, 10.0, 5)], "edge_id long, from_node long, to_node long, length_m double, speed_ms double, capacity long")
+    calls = []
+    for module in (cleaning, network):
+        monkeypatch.setattr(module, "connected_components", lambda *a, **k: calls.append(a) or connected_components(*a, **k))
+    _, kept, report = cleaning.cleaned(nodes(spark, 10), e, cleaning.Cleaning(simplify=False))
+    assert len(calls) == 1 and kept.count() == 7
+    r = report.first()
+    assert (r["parallel"], r["contracted"], r["small"], r["components"], r["components_removed"]) == (7, 0, 1, 2, 1)

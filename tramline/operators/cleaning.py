@@ -67,7 +67,7 @@ def cleaned(nodes: DataFrame, edges: DataFrame, options: Cleaning = Cleaning())
     """
     o = options
     spark = edges.sparkSession
-    sizes = {"nodes_before": nodes.count(), "edges_before": edges.count()}
+    sizes = {"nodes_before": nodes.count(), "edges_before": edges.count(), "contracted": 0}
     now, before = edges, sizes["edges_before"]
 
     def took(name: str, after: DataFrame) -> DataFrame:
@@ -82,10 +82,10 @@ def cleaned(nodes: DataFrame, edges: DataFrame, options: Cleaning = Cleaning())
     if o.simplify:
         now = shortened(network.contracted(now, nodes), nodes, o.min_length)
         now = network.without_loops(now) if o.loops else now
-    now = took("contracted", network.deduplicated(now) if o.simplify and o.parallel else now)
+        now = took("contracted", network.deduplicated(now) if o.parallel else now)
     of = written(connected_components(now, "from_node", "to_node"), "parts")
     sizes["components"] = of.select("component").distinct().count()
-    now = took("small", network.large_components(now, o.least_component))
+    now = took("small", network.large_components(now, o.least_component, of))
     kept = of.join(now.select(F.explode(F.array("from_node", "to_node")).alias("node")).distinct(), "node", "left_semi").select("component").distinct()
     sizes["components_removed"] = sizes["components"] - kept.count()
     nodes, now = reindexed(nodes, now)

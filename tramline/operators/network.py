@@ -73,9 +73,9 @@ def contracted(edges: DataFrame, nodes: DataFrame, min_length: float = 20.0) ->
     return heads.join(state.select("edge_id", F.col("end").alias("to_node"), "length_m", "speed_ms", "capacity", *line), "edge_id").where("from_node <> to_node").select(*edges.columns)
 
 
-def large_components(edges: DataFrame, least: int = 5) -> DataFrame:
-    """Edges of weak components that are the largest or have ``least`` nodes or more."""
-    of = written(connected_components(edges, "from_node", "to_node"), "components")
+def large_components(edges: DataFrame, least: int = 5, of: DataFrame | None = None) -> DataFrame:
+    """Edges of weak components that are the largest or have ``least`` nodes or more. of: (node, component), if these are known."""
+    of = written(connected_components(edges, "from_node", "to_node"), "components") if of is None else of
     sizes = of.groupBy("component").agg(F.count("*").alias("n"))
     top = sizes.agg(F.max("n").alias("top"))
     keep = sizes.crossJoin(F.broadcast(top)).where((F.col("n") >= least) | (F.col("n") == F.col("top"))).select("component")
