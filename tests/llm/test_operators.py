@@ -90,6 +90,20 @@ def test_suffix_dedup_of_repeated_rows_and_nothing(spark):
     assert suffix_dedup.digest(frame(spark, [])).count() == 0
 
 
+def test_runs_and_transform_take_bounded_memory():
+    """What a worker takes at once for a slice of texts and for a bucket, at the shipped sizes."""
+    import tracemalloc
+
+    raw = np.frombuffer(prose(91, 300_000).encode(), np.uint8)
+    for step, n, text in ((suffix_dedup.runs, suffix_dedup.SLICE, 4000), (suffix_dedup.repeated_starts, suffix_dedup.BUCKET_BYTES, 560)):
+        off = np.append(np.arange(0, n, text), n)
+        tracemalloc.start()
+        step(raw[:n], off, 400)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(raw) >= n and most < 90e6
+
+
 def test_transform_finds_repeats():
     r = random.Random(4)
     for _ in range(60):
