@@ -211,6 +211,18 @@ def test_substring_dedup_of_many_groups_each_with_one_longer_repeat(spark):
     assert {i: n for i, n in got.items() if n} == {i: got[i] for i in due} and all(64 <= got[i] <= 70 for i in due)
 
 
+def test_substring_dedup_links_all_of_a_crowded_passage(spark, monkeypatch):
+    """Near copies that differ from each other: each is linked to all earlier ones, in one group or in blocks; a line that more texts have links none."""
+    p, line = prose(8000, 60).split(), prose(8001, 14)
+    texts = [" ".join([prose(8100 + i, 30), *p[:25], f"own{i}", *p[26:], prose(8200 + i, 30)]) for i in range(14)]
+    texts += [prose(8300 + i, 50) + " " + line + " " + prose(8400 + i, 50) for i in range(30)]
+    for block in (500, 4):
+        monkeypatch.setattr(substring_dedup, "BLOCK", block)
+        got = {r["doc_id"]: (r["n_removed"], r["repeats_of"]) for r in substring_dedup.digest(frame(spark, texts)).collect()}
+        assert [got[i] for i in range(14)] == [(60 if i else 0, list(range(i))) for i in range(14)]
+        assert all(got[i] == (0, []) for i in range(14, 44))
+
+
 def test_substring_dedup_against_every_pair(spark):
     """Exact and changed repeats among random texts: what goes is what verifying every pair of texts would remove."""
     r = random.Random(9)
