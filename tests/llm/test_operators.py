@@ -223,6 +223,26 @@ def test_substring_dedup_links_all_of_a_crowded_passage(spark, monkeypatch):
         assert all(got[i] == (0, []) for i in range(14, 44))
 
 
+def test_substring_dedup_thins_large_groups_before_blocks(spark, monkeypatch):
+    """Of windows around a mere line nothing is left to deal out; those of near copies, and texts that run in circles, stay and are all linked, in any blocks."""
+    p, line, ring = prose(8500, 60).split(), prose(8501, 14), prose(8502, 12)
+    texts = [" ".join([prose(8600 + i, 30), *p[:25], f"own{i}", *p[26:], prose(8700 + i, 30)]) for i in range(14)]
+    texts += [prose(8800 + i, 50) + " " + line + " " + prose(8900 + i, 50) for i in range(30)]
+    texts += [prose(9000 + i, 20) + " " + " ".join([ring] * (5 + i % 3)) + " " + prose(9100 + i, 20) for i in range(12)]
+    got, left = [], []
+    thinned = substring_dedup.thinned
+    monkeypatch.setattr(substring_dedup, "thinned", lambda *a: left.append(thinned(*a)) or left[-1])
+    for block, many in ((2000, 4), (5, 1)):
+        monkeypatch.setattr(substring_dedup, "BLOCK", block)
+        monkeypatch.setattr(substring_dedup, "MANY", many)
+        got.append({r["doc_id"]: (r["n_removed"], r["repeats_of"]) for r in substring_dedup.digest(frame(spark, texts)).collect()})
+    assert got[0] == got[1]
+    assert [got[0][i] for i in range(14)] == [(60 if i else 0, list(range(i))) for i in range(14)]
+    assert all(got[0][i] == (0, []) for i in range(14, 44))
+    assert all(got[0][i][1] == list(range(44, i)) for i in range(44, 56))
+    assert len(left) == 1 and {r["_d"] for r in left[0].collect()} <= {*range(14), *range(44, 56)}
+
+
 def test_substring_dedup_against_every_pair(spark):
     """Exact and changed repeats among random texts: what goes is what verifying every pair of texts would remove."""
     r = random.Random(9)
